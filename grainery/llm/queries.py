@@ -5,10 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from grainery.llm import common, packing, sql_bpe, token_counts, token_files
+from grainery.llm import common, langid, packing, pii, quality_rules, rule_ensemble, sql_bpe, token_counts, token_files
 
 GPT_JSON = "byte_bpe_50k.json"
 
+#: The key of the registered query; a deployment passes its own.
+PII_KEY = "a key for tests only"
+
+
+def op1_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(common.table(spark, sf_dir, "documents"), policy="v2")
+
+
+def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(common.table(spark, sf_dir, "documents"), PII_KEY)
+
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(common.table(spark, sf_dir, "documents"), public_tokenizers.path(GPT_JSON), limit=512)
@@ -26,6 +37,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_digest(common.table(spark, sf_dir, "documents"), public_tokenizers.path(GPT_JSON), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_sql_bpe, op6_mixture_packing, op10_token_files)}
+def op7_language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(common.table(spark, sf_dir, "documents"))
+
+
+def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_rule_ledger, op2_feistel_pseudonyms, op3_token_counts, op4_sql_bpe, op6_mixture_packing, op7_language_mixtures, op9_rule_ensemble, op10_token_files)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_rule_ledger": quality_rules.ORACLE_SQL}
