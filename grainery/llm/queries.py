@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from grainery.llm import common, langid, packing, pii, quality_rules, rule_ensemble, sql_bpe, token_counts, token_files
+from grainery.llm import common, jaccard_join, langid, packing, pii, quality_rules, rule_ensemble, sql_bpe, token_counts, token_files
 
 GPT_JSON = "byte_bpe_50k.json"
 
@@ -41,10 +41,14 @@ def op7_language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(common.table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rule_ledger, op2_feistel_pseudonyms, op3_token_counts, op4_sql_bpe, op6_mixture_packing, op7_language_mixtures, op9_rule_ensemble, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_rule_ledger, op2_feistel_pseudonyms, op3_token_counts, op4_sql_bpe, op6_mixture_packing, op7_language_mixtures, op8_jaccard_join, op9_rule_ensemble, op10_token_files)}
 
 ORACLE_SQL: dict[str, str] = {"op1_rule_ledger": quality_rules.ORACLE_SQL}
