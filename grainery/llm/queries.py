@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from grainery.llm import common, jaccard_join, langid, packing, pii, quality_rules, rule_ensemble, sql_bpe, token_counts, token_files
+from grainery.llm import common, jaccard_join, langid, neighbours, packing, pii, quality_rules, rule_ensemble, sql_bpe, token_counts, token_files
 
 GPT_JSON = "byte_bpe_50k.json"
 
@@ -29,6 +29,10 @@ def op4_sql_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql_bpe.encode_and_decode(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_multiprobe_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(common.table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op6_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path(GPT_JSON), end_id=0, window=1024)
 
@@ -49,6 +53,6 @@ def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rule_ledger, op2_feistel_pseudonyms, op3_token_counts, op4_sql_bpe, op6_mixture_packing, op7_language_mixtures, op8_jaccard_join, op9_rule_ensemble, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_rule_ledger, op2_feistel_pseudonyms, op3_token_counts, op4_sql_bpe, op5_multiprobe_hashing, op6_mixture_packing, op7_language_mixtures, op8_jaccard_join, op9_rule_ensemble, op10_token_files)}
 
 ORACLE_SQL: dict[str, str] = {"op1_rule_ledger": quality_rules.ORACLE_SQL}
