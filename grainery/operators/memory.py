@@ -29,7 +29,7 @@ def resolve(entities: DataFrame, needles: DataFrame, needle: str = "needle") ->
     and no pair without it is formed. Shorter strings are matched by
     their own letters in the same way, at their own length.
     """
-    left = needles.select(needle, F.lower(X.strip(needle)).alias("n")).filter("n IS NOT NULL AND n <> ''").distinct()
+    left = needles.select(F.col(needle).alias("__needle"), F.lower(X.strip(needle)).alias("n")).filter("n IS NOT NULL AND n <> ''").distinct()
     right = names(entities)
     grams = lambda c, size: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substr(F.col(c), i, F.lit(size))))
 
@@ -38,24 +38,24 @@ def resolve(entities: DataFrame, needles: DataFrame, needle: str = "needle") ->
         for size in range(1, GRAM + 1):
             key = short.filter(F.length(s) >= size if size == GRAM else F.length(s) == size).withColumn("gram", F.substring(s, 1, size))
             look = long.filter(F.length(l) >= size).withColumn("gram", F.explode(grams(l, size)))
-            hit = key.join(look, "gram").filter(F.contains(F.col(l), F.col(s))).select(needle, "entity_id")
+            hit = key.join(look, "gram").filter(F.contains(F.col(l), F.col(s))).select("__needle", "entity_id")
             found = hit if found is None else found.union(hit)
         return found
 
-    return pairs(left, "n", right, "name").union(pairs(right, "name", left, "n")).distinct()
+    return pairs(left, "n", right, "name").union(pairs(right, "name", left, "n")).distinct().withColumnRenamed("__needle", needle)
 
 
 def create_entities(batch: DataFrame, entities: DataFrame, order: str = "position") -> tuple[DataFrame, DataFrame, DataFrame]:
     """New entities, duplicates (with the first entity that their name resolves to), and rejects.
 
-    A row is held against the table and against earlier rows of the batch, whether or not those were kept.
+    A row is held against the table, and against the names of earlier rows of the batch that the table does not know.
     """
     error = first_error((X.blank("name"), "empty name"), (~F.coalesce(F.col("kind").isin(*schemas.ENTITY_KINDS), F.lit(False)), "unknown kind"))
     good, rejects = split_rejects(batch, error)
     known = resolve(entities, good, "name").groupBy("name").agg(F.min("entity_id").alias("entity_id"))
-    own = good.select(F.col(order).alias("id"), "name", F.lit(None).cast("string").alias("full_name"), F.lit(None).cast("string").alias("relation"), F.lit(None).cast("string").alias("aliases"))
-    earlier = resolve(own, good, "name").join(good.select("name", F.col(order).alias("__at")), "name").filter("entity_id < __at").select(F.col("__at").alias(order)).distinct()
     seen = good.join(known, "name", "left")
+    own = seen.filter("entity_id IS NULL").select(F.col(order).alias("id"), "name", F.lit(None).cast("string").alias("full_name"), F.lit(None).cast("string").alias("relation"), F.lit(None).cast("string").alias("aliases"))
+    earlier = resolve(own, good, "name").join(good.select("name", F.col(order).alias("__at")), "name").filter("entity_id < __at").select(F.col("__at").alias(order)).distinct()
     fresh = seen.filter("entity_id IS NULL").drop("entity_id").join(earlier, order, "left_anti")
     repeats = seen.filter("entity_id IS NULL").join(earlier, order, "left_semi").unionByName(seen.filter("entity_id IS NOT NULL"))
     added = number(fresh.withColumn("aliases", X.join_aliases("aliases")), entities, [order]).drop(order)
