@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,7 +47,9 @@ from grainery.llm.components import components
 
 WORDS, PERCENT = 5, 80
 #: The share of a set's size that linking samples have in common; index entries of a task; shingles in a block; pivots of a large group.
-SHARE, INDEX_ENTRIES, BLOCK, PIVOTS = 0.15, 1 << 20, 1 << 22, 16
+SHARE, INDEX_ENTRIES, BLOCK, PIVOTS = 0.15, 1 << 20, 1 << 21, 16
+#: Bytes of text hashed at once.
+HASHED_BYTES = 1 << 20
 #: DivideSkip's weight of a merge step against a probe.
 MU = 0.01
 
@@ -58,13 +61,19 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-@functools.cache
-def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2 ^ 64."""
-    up = np.full(1 << bits, base, np.uint64)
-    down = np.full(1 << bits, pow(base, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n + 1 powers of an odd base and of its inverse, modulo 2 ^ 64; the longest table is kept."""
+    if base not in _POWERS or len(_POWERS[base][0]) <= n:
+        size = 1 << max(12, n.bit_length())
+        both = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
+        for x in both:
+            x[0] = 1
+            np.cumprod(x, dtype=np.uint64, out=x)
+        _POWERS[base] = both
+    return _POWERS[base]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -75,14 +84,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _spans(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, base: int) -> np.ndarray:
     """A polynomial hash of values[lo:hi] for each pair."""
-    up, down = _powers(base, max(12, int(len(values)).bit_length()))
+    up, down = _powers(base, len(values))
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], dtype=np.uint64, out=total[1:])
     return _mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64))
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For each text (bytes, offsets): its number of words, its class, and its sorted shingle hashes."""
+def sets_of(rows: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The class and the sorted shingle hashes of each row's text, hashed some bytes at a time."""
+    found = [shingle_sets(*common.utf8(part.column("text"))) for part in common.slices(rows, most=HASHED_BYTES)]
+    return np.concatenate([c for c, _ in found]), [s for _, sets in found for s in sets]
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For each text (bytes, offsets): its class, and its sorted shingle hashes."""
     n = len(offsets) - 1
     solid = ~_BLANK[data]
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
@@ -92,7 +107,6 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     lo, hi = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
     words = _spans(_TABLE[_LOWER[data]], lo, hi, _BASE)
     at = np.searchsorted(lo, offsets)
-    count = np.diff(at)
     classes = _spans(words, at[:-1], at[1:], _CLASS)
     each = words[: max(0, len(words) - WORDS + 1)].copy()
     for k in range(1, WORDS):
@@ -105,7 +119,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
             sets.append(np.unique(each[a : b - WORDS + 1]))
         else:
             sets.append(classes[i : i + 1] if b > a else classes[:0])
-    return count, classes, sets
+    return classes, sets
 
 
 def common_share(n: int) -> int:
@@ -125,7 +139,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, number = TaskContext.get().partitionId(), 0
     for batch in batches:
         for rows in common.slices(batch):
-            _, classes, sets = shingle_sets(*common.utf8(rows.column("text")))
+            classes, sets = sets_of(rows)
             sizes = [len(s) for s in sets]
             _, first = np.unique(classes, return_index=True)
             new = np.zeros(len(sets), bool)
@@ -160,12 +174,15 @@ def _entries(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
 
 
 def _joined(column, dtype=np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a binary column, and each row's number of them."""
+    """All values of a binary column (null: none), and each row's number of them."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    arr = column.cast(pa.large_binary())
-    sizes = np.array([len(v) if v is not None else 0 for v in arr.to_pylist()], np.int64) // np.dtype(dtype).itemsize
-    return np.frombuffer(b"".join(v for v in arr.to_pylist() if v is not None), dtype), sizes
+    arr = pc.fill_null(column, b"").cast(pa.large_binary())
+    _, offsets, data = arr.buffers()
+    if not len(arr) or not data:
+        return np.zeros(0, dtype), np.zeros(len(arr), np.int64)
+    off = np.frombuffer(offsets, np.int64)[arr.offset : arr.offset + len(arr) + 1]
+    return np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(dtype), np.diff(off) // np.dtype(dtype).itemsize
 
 
 def _shared(table: pa.Table) -> pa.Table:
@@ -375,7 +392,7 @@ def _search_apart(table: pa.Table) -> pa.Table:
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in common.slices(batch):
-            _, classes, sets = shingle_sets(*common.utf8(rows.column("text")))
+            classes, sets = sets_of(rows)
             yield pa.RecordBatch.from_arrays([pa.array(classes.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "n", "hashes"])
 
 
