@@ -16,14 +16,13 @@ from grainery.llm.queries import GPT_JSON, PII_KEY
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules' policy."""
-    book = quality_rules.ledger(docs.withColumn("__copy", F.col("text")), keep=(*docs.columns[: docs.columns.index("text")], "__copy", *docs.columns[docs.columns.index("text") + 1 :]))
-    return book.filter(quality_rules.kept_by("v2")).select(*(F.col("__copy").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    return quality_rules.select_passing(docs, "v2")
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted to what is left of the labelled ones, predicts to be good."""
     model = rule_ensemble.fit(docs, common.table(spark, sf_dir, "labels"))
-    return rule_ensemble.score(docs, model, docs.columns).filter("predicted = 1").select(*docs.columns)
+    return rule_ensemble.select_good(docs, model)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

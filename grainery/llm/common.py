@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
+import inspect
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,11 +66,54 @@ def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def trimmed(work: Callable) -> Callable:
+    """The same for a function of one group."""
+
+    @functools.wraps(work)
+    def run(*args, **kwargs):
+        try:
+            return work(*args, **kwargs)
+        finally:
+            trim()
+
+    run.__signature__ = inspect.signature(work)  # Spark counts the arguments
+    return run
+
+
+def column_of(batch: pa.RecordBatch, path: str) -> pa.Array:
+    """A column, or a field of a struct column (`row.text`)."""
+    head, *rest = path.split(".")
+    arr = batch.column(head)
+    for name in rest:
+        arr = pc.struct_field(arr, name)
+    return arr
+
+
+def trim() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks, and stages follow one another."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(work: Callable) -> Callable:
+    """A function over the batches of a task that trims memory at the task's end."""
+
+    @functools.wraps(work)
+    def run(batches, *args, **kwargs):
+        try:
+            yield from work(batches, *args, **kwargs)
+        finally:
+            trim()
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts have about `most` bytes."""
     if not batch.num_rows:
         return
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.fill_null(pc.binary_length(column_of(batch, column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = np.maximum(np.cumsum(sizes) - 1, 0) // most
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for lo, hi in zip(cuts, cuts[1:], strict=False):
@@ -74,7 +121,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
-    return pc.fill_null(batch.column(column), "").to_pylist()
+    return pc.fill_null(column_of(batch, column), "").to_pylist()
 
 
 def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

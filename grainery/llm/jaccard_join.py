@@ -135,6 +135,7 @@ def sample_size(n: int) -> int:
     return n - least_overlap(n) + common_share(n) if n else 0
 
 
+@common.tidy
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, number = TaskContext.get().partitionId(), 0
     for batch in batches:
@@ -152,6 +153,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number += 1
 
 
+@common.tidy
 def _entries(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Index entries of each slice, in one row per index part."""
     for batch in batches:
@@ -185,6 +187,7 @@ def _joined(column, dtype=np.uint64) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(dtype), np.diff(off) // np.dtype(dtype).itemsize
 
 
+@common.trimmed
 def _shared(table: pa.Table) -> pa.Table:
     """For each slice, the hashes of an index part that occur more than once, with their frequency."""
     hashes, sizes = _joined(table.column("hashes"))
@@ -226,6 +229,7 @@ class _Union:
 _SIGNED = pa.schema([("hash", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
+@common.trimmed
 def _signed(samples: pa.Table, found: pa.Table) -> pa.Table:
     """Signatures of a slice's documents: rows (hash, a) for the slice's groups, and edges (a, b) inside it."""
     if not found.num_rows:
@@ -360,6 +364,7 @@ def _apart(union: _Union, k: int, mine: int) -> np.ndarray:
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+@common.trimmed
 def _search_blocks(table: pa.Table) -> pa.Table:
     """Links inside each candidate group of a task's rows."""
     table = table.sort_by([("label", "ascending"), ("class", "ascending")])
@@ -375,6 +380,7 @@ def _search_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}, _EDGES)
 
 
+@common.trimmed
 def _search_apart(table: pa.Table) -> pa.Table:
     """Links between the queries and the rows of one block that are in other components."""
     data, sizes = _joined(table.column("hashes"))
@@ -389,6 +395,7 @@ def _search_apart(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}, _EDGES)
 
 
+@common.tidy
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in common.slices(batch):

@@ -58,6 +58,7 @@ def words_and_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return codes, starts, np.searchsorted(owner, first, "right")
 
 
+@common.tidy
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for batch in batches:
@@ -179,6 +180,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, lang_pred string, score double, languages array<string>, proportions array<double>")
 
 
+@common.tidy
 def _with_broadcast(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     yield from _predicted(batches, shared.value)
 

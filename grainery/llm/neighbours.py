@@ -88,6 +88,7 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
+@common.tidy
 def _hashed(batches: Iterator[pa.RecordBatch], parameters: tuple, probes: int, blocks: int) -> Iterator[pa.RecordBatch]:
     """For each table: rows get their cell, queries (probes > 0) one row per block that they visit."""
     tables = parameters[0]
@@ -122,6 +123,7 @@ def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return dots / (np.sqrt((vectors * vectors).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
+@common.trimmed
 def _best(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     """The best of a block for each query in it."""
     if not rows.num_rows or not queries.num_rows:

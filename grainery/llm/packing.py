@@ -48,6 +48,7 @@ def queue_names(docs: DataFrame, most: int = MAX_QUEUES) -> list[str | None]:
     return [r[0] for r in counts.limit(most - 1).collect()]
 
 
+@common.tidy
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int, names: list[str | None]) -> Iterator[pa.RecordBatch]:
     enc, part = tokenizing.encoder(path), TaskContext.get().partitionId()
     place = {name: i for i, name in enumerate(names)}
@@ -132,6 +133,7 @@ def cut(schedule: Schedule, queue: np.ndarray, begin: np.ndarray, n: np.ndarray)
     return tuple(x[order] for x in joined)
 
 
+@common.tidy
 def _pieces(batches: Iterator[pa.RecordBatch], schedule: Schedule) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in common.slices(batch, "ids", most=8 << 20):

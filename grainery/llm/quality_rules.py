@@ -13,6 +13,7 @@ untouched, and the ledger's own columns are only those listed in MEASURES and `b
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grainery.llm import common
 
@@ -71,12 +73,19 @@ def measure_text(text: str) -> tuple[int, ...]:
     )
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@common.tidy
+def _measured(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in common.slices(batch):
-            rows = np.array([measure_text(t) for t in common.texts_of(part)], np.int64).reshape(-1, len(MEASURES))
-            kept = [part.column(i) for i in range(part.num_columns - 1)]  # the text comes last
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(rows[:, i]) for i in range(len(MEASURES)))], names=[*part.schema.names[:-1], *MEASURES])
+        for part in common.slices(batch, text):
+            rows = np.array([measure_text(t) for t in common.texts_of(part, text)], np.int64).reshape(-1, len(MEASURES))
+            kept = [n for n in part.schema.names if n != text]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), *(pa.array(rows[:, i]) for i in range(len(MEASURES)))], names=[*kept, *MEASURES])
+
+
+def _ledger(rows: DataFrame, text: str) -> DataFrame:
+    kept = [f for f in rows.schema.fields if f.name != text]
+    schema = T.StructType([*kept, *(T.StructField(m, T.LongType()) for m in MEASURES)])
+    return rows.mapInArrow(functools.partial(_measured, text=text), schema).withColumn("bits", failure_bits())
 
 
 @dataclass(frozen=True)
@@ -118,9 +127,13 @@ def failure_bits() -> Column:
 
 def ledger(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` of docs(text, ...), the measurements, and `bits`."""
-    rows = docs.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [f"{m} bigint" for m in MEASURES])
-    return rows.select(*keep, F.col("__text").alias("text")).mapInArrow(_measured, schema).withColumn("bits", failure_bits())
+    return _ledger(docs.select(*keep, F.col("text").alias("__text")), "__text")
+
+
+def select_passing(docs: DataFrame, policy: str) -> DataFrame:
+    """The rows of docs(text, ...) that pass a policy, with all their columns, whatever those are called."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+    return _ledger(rows, "__row.text").filter(kept_by(policy)).select("__row.*")
 
 
 def kept_by(policy: str) -> Column:

@@ -17,6 +17,7 @@ was seen; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grainery.llm import common, quality_rules
 
@@ -53,19 +55,23 @@ def statistics(text: str) -> tuple[float, ...]:
     )
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@common.tidy
+def _described(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in common.slices(batch, "__text"):
-            rows = np.array([statistics(t) for t in common.texts_of(part, "__text")], np.float64).reshape(-1, len(STATISTICS))
-            kept = [part.column(i) for i in range(part.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(np.ascontiguousarray(rows[:, i])) for i in range(len(STATISTICS)))], names=[*part.schema.names[:-1], *(f"__{s}" for s in STATISTICS)])
+        for part in common.slices(batch, text):
+            rows = np.array([statistics(t) for t in common.texts_of(part, text)], np.float64).reshape(-1, len(STATISTICS))
+            kept = [n for n in part.schema.names if n != text]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), *(pa.array(np.ascontiguousarray(rows[:, i])) for i in range(len(STATISTICS)))], names=[*kept, *(f"__{s}" for s in STATISTICS)])
+
+
+def _describe(rows: DataFrame, text: str) -> DataFrame:
+    kept = [f for f in rows.schema.fields if f.name != text]
+    return rows.mapInArrow(functools.partial(_described, text=text), T.StructType([*kept, *(T.StructField(f"__{s}", T.DoubleType()) for s in STATISTICS)]))
 
 
 def describe(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns `keep` and the statistics, named with two leading underscores."""
-    rows = docs.select(*keep, F.col("text").alias("__text"))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(_described, ", ".join(kept + [f"`__{s}` double" for s in STATISTICS]))
+    return _describe(docs.select(*keep, F.col("text").alias("__text")), "__text")
 
 
 @dataclass(frozen=True)
@@ -210,6 +216,12 @@ def score(docs: DataFrame, model: Model, keep: list[str], threshold: float = 0.7
     return rows.select(*keep, F.col("__score").alias("score"), F.when(F.col("__score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
+def select_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs(text, ...) that score at least the threshold, with all their columns, whatever those are called."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+    return _describe(rows, "__row.text").filter(model.score() >= threshold).select("__row.*")
+
+
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs(doc_id, text)."""
     scored = score(docs, fit(docs, labels, sample), ["doc_id"], threshold)

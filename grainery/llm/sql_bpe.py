@@ -198,6 +198,7 @@ def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
 
 
+@common.tidy
 def _round_trip(batches: Iterator[pa.RecordBatch], path: str, pattern: str, ids_too: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in common.slices(batch, most=1 << 20):

@@ -78,6 +78,7 @@ def count_long(text: str, tokenizer, chunk: int = CHUNK, overlap: int = OVERLAP,
     return total + len(left.ids) - first
 
 
+@common.tidy
 def _count(batches: Iterator[pa.RecordBatch], path: str, limit: int, chunk: int) -> Iterator[pa.RecordBatch]:
     enc = tokenizing.encoder(path)
     for batch in batches:

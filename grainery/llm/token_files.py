@@ -32,6 +32,7 @@ from grainery.llm import common, tokenizing
 ROW_GROUP, PAGE, DELTA = 16 << 20, 256 << 10, ("doc_id", "before", "n_tokens", "part")
 
 
+@common.tidy
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     enc, part, sofar = tokenizing.encoder(path), TaskContext.get().partitionId(), 0
     for batch in batches:
@@ -74,6 +75,7 @@ def part_starts(spark: SparkSession, path: str) -> DataFrame:
     return sums.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
 
 
+@common.tidy
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         tokens = batch.column("tokens")
