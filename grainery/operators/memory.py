@@ -120,3 +120,8 @@ def supersede_errors(observations: DataFrame, ids: DataFrame) -> DataFrame:
     """Ids that cannot be superseded: unknown, or superseded before."""
     active = observations.filter(~F.col("superseded")).select("id")
     return ids.join(active, "id", "left_anti").withColumn("error", F.lit("no active observation"))
+
+
+def write_observations(observations: DataFrame, path: str) -> None:
+    """Parquet sorted by entity and attribute: an exact lookup reads the row groups whose least and greatest values hold the key."""
+    observations.repartitionByRange("entity_id", "attribute").sortWithinPartitions("entity_id", "attribute", "superseded").write.parquet(path)

@@ -219,3 +219,18 @@ def test_streaming_capture(spark, tmp_path):
     stream = spark.readStream.schema("url string, source_type string, raw_text string, ingested_at timestamp").parquet(str(tmp_path / "in"))
     ingest.start(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from grainery.__main__ import main
+
+    (tmp_path / "a.md").write_text("# T\n\nOne. Two.\n")
+    assert main(["chunk", str(tmp_path / "a.md"), "--title", "T"]) == 0 and "| 0 |" in capsys.readouterr().out
+    assert main(["chunk", str(tmp_path / "none.md")]) == 1 and main(["video-id", "x"]) == 1
+    assert main(["video-id", "https://youtu.be/abcdefghijk"]) == 0 and main(["query", "nothing", "."]) == 1
+
+
+def test_sorted_observations(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2, "a", False), (2, 1, "b", True)], "id long, entity_id long, attribute string, superseded boolean")
+    memory.write_observations(rows, str(tmp_path / "o"))
+    assert spark.read.parquet(str(tmp_path / "o")).filter("entity_id = 1").count() == 1
