@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that Python code works on at once; one longer text is taken alone.
 SLICE_BYTES = 4 << 20
 
+#: Rows that Spark sends to Python at once, where the session does not say.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1250
+
 #: A table up to this many bytes may be broadcast; a larger one is joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -44,6 +47,15 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Send texts to Python some megabytes at a time: Spark's default of 10,000 rows a batch grows with their length.
+
+    A setting of the session's own prevails.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
@@ -120,6 +132,11 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         yield batch.slice(lo, hi - lo)
 
 
+def strings(arr: pa.Array) -> list[str]:
+    """The Python strings of an array without nulls, many at a time."""
+    return arr.to_numpy(zero_copy_only=False).tolist()
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return pc.fill_null(column_of(batch, column), "").to_pylist()
 

@@ -463,6 +463,7 @@ def links(docs: DataFrame, samples: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id of each row of docs(doc_id, text)."""
+    common.bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     samples = docs.select("doc_id", "text").mapInArrow(_sampled, f"slice bigint, doc_id {kind}, class bigint, n bigint, sample binary")
     samples = common.materialize(samples, "jaccard-samples")

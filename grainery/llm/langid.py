@@ -88,6 +88,7 @@ class Model:
 
 def learn(docs: DataFrame) -> Model:
     """Count trigrams of docs(text, lang) by language, over all rows."""
+    common.bound_batches(docs.sparkSession)
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     counts = rows.mapInArrow(_counted, "lang string, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     # at most MOST_LANGUAGES rows of packed counts reach the driver
@@ -174,6 +175,7 @@ def _predicted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.R
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, languages, proportions of docs(doc_id, text)."""
+    common.bound_batches(docs.sparkSession)
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     shared = spark.sparkContext.broadcast(model)  # at most MOST_LANGUAGES * TABLE floats
     work = functools.partial(_with_broadcast, shared=shared)

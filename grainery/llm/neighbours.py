@@ -163,6 +163,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by `every`."""
+    common.bound_batches(vectors.sparkSession)
     rows = usable(vectors).withColumn("print", F.xxhash64("vector"))
     # one row per distinct vector with its least k + 1 ids, and apart from them its queries
     rank = F.row_number().over(Window.partitionBy("print", "vector").orderBy("id"))

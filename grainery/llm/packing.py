@@ -166,6 +166,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = 10
     targets: the share of each window by source, as long as the source lasts;
     sources without one take their share of the tokens.
     """
+    common.bound_batches(docs.sparkSession)
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     names = queue_names(docs, max_queues)
     coded = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text").mapInArrow(

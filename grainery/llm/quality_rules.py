@@ -83,6 +83,7 @@ def _measured(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Recor
 
 
 def _ledger(rows: DataFrame, text: str) -> DataFrame:
+    common.bound_batches(rows.sparkSession)
     kept = [f for f in rows.schema.fields if f.name != text]
     schema = T.StructType([*kept, *(T.StructField(m, T.LongType()) for m in MEASURES)])
     return rows.mapInArrow(functools.partial(_measured, text=text), schema).withColumn("bits", failure_bits())

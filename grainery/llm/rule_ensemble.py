@@ -65,6 +65,7 @@ def _described(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Reco
 
 
 def _describe(rows: DataFrame, text: str) -> DataFrame:
+    common.bound_batches(rows.sparkSession)
     kept = [f for f in rows.schema.fields if f.name != text]
     return rows.mapInArrow(functools.partial(_described, text=text), T.StructType([*kept, *(T.StructField(f"__{s}", T.DoubleType()) for s in STATISTICS)]))
 

@@ -158,7 +158,7 @@ class Coder:
         found = [self.find(t) for t in texts]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         coded = pa.array([w for f in found for w in f], pa.string()).dictionary_encode()
-        kinds = coded.dictionary.to_pylist()
+        kinds = common.strings(coded.dictionary)
         self.learn([w for w in kinds if w not in self.known])
         if not kinds:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
@@ -221,6 +221,7 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, ids_too: b
 
     ids_too adds the ids and the decoded bytes themselves.
     """
+    common.bound_batches(docs.sparkSession)
     work = functools.partial(_round_trip, path=ranks_path, pattern=pattern, ids_too=ids_too)
     kind = docs.schema["doc_id"].dataType.simpleString()
     more = ", ids array<int>, decoded binary" if ids_too else ""

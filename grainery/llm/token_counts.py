@@ -102,6 +102,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, chunk:
     A tokenizer whose description does not support the splice proof is
     applied to each text whole.
     """
+    common.bound_batches(docs.sparkSession)
     work = functools.partial(_count, path=tokenizer_path, limit=limit, chunk=chunk)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -48,6 +48,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
     """Write docs(doc_id, text, source) as token files in ascending doc_id order."""
+    common.bound_batches(docs.sparkSession)
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", source.alias("source"), "text").withColumn("tie", F.xxhash64("text"))
@@ -87,6 +88,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document in the files."""
+    common.bound_batches(spark)
     bases, files = common.materialize(part_starts(spark, path), "token-parts"), spark.read.parquet(path)
     small = bases.count() * 16 <= common.BROADCAST_BYTES
     kind = files.schema["doc_id"].dataType.simpleString()
