@@ -46,7 +46,7 @@ def op7_language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicates(common.table(spark, sf_dir, "documents"))
+    return jaccard_join.near_duplicates(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,4 +55,4 @@ def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_rule_ledger, op2_feistel_pseudonyms, op3_token_counts, op4_sql_bpe, op5_multiprobe_hashing, op6_mixture_packing, op7_language_mixtures, op8_jaccard_join, op9_rule_ensemble, op10_token_files)}
 
-ORACLE_SQL: dict[str, str] = {"op1_rule_ledger": quality_rules.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_rule_ledger": quality_rules.ORACLE_SQL, "op8_jaccard_join": jaccard_join.ORACLE_SQL}

@@ -152,6 +152,14 @@ def test_jaccard_query(spark, sf_dir):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op8_jaccard_join(spark, sf_dir).collect()} == brute(rows)
 
 
+def test_jaccard_sql(spark):
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'").fetchall()
+    want = sorted(con.sql(jaccard_join.ORACLE_SQL).to_arrow_table().to_pylist(), key=lambda r: r["doc_id"])
+    assert sorted(queries.op8_jaccard_join(spark, d).toArrow().to_pylist(), key=lambda r: r["doc_id"]) == want
+
+
 def test_jaccard_odd(odd, none):
     rows = jaccard_join.near_duplicates(odd).collect()
     assert len(rows) == odd.count() and {(r.doc_id, r.component_id) for r in rows if r.doc_id in (1, 2, 3, 7, 8)} == {(1, 1), (2, 2), (3, 3), (7, 7), (8, 7)}
