@@ -60,8 +60,10 @@ def bm25(rows: DataFrame, phrases: list[list[str]], mode: str = "relaxed") -> Da
     full = F.count(F.when(reduce(lambda a, b: a & b, [F.col(c) > 0 for c in tf]), 1))
     figures = counted.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"), full.alias("full"), *(F.count(F.when(F.col(c) > 0, 1)).alias(f"df_{c}") for c in tf))
     hits = sum(((F.col(c) > 0).cast("int") for c in tf), F.lit(0))
-    least = {"and": F.lit(len(tf)), "or": F.lit(1), "relaxed": F.when(F.col("full") > 0, len(tf)).otherwise(1)}[mode]
-    found = counted.filter(hits >= 1).crossJoin(F.broadcast(figures)).filter(hits >= least)  # figures: one row
+    few = {"and": F.lit(len(tf)), "or": F.lit(1), "relaxed": F.when(F.col("full") > 0, len(tf)).otherwise(1)}[mode]
+    # the figures (one row) stand in the condition so that it stays above the counts: pushed below them it would tokenize once per term
+    least = F.when(F.col("n") > 0, few)
+    found = counted.crossJoin(F.broadcast(figures)).filter(hits >= least)
 
     def part(c: str) -> Column:
         idf = F.greatest(F.log((F.col("n") - F.col(f"df_{c}") + 0.5) / (F.col(f"df_{c}") + 0.5)), F.lit(IDF_FLOOR))

@@ -19,8 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+#: Tables of texts, whose rows are dear, and their keys.
+_TEXTS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return files.spread(rows, _TEXTS[name]) if name in _TEXTS else rows
 
 
 def query(sql: str | None = None):

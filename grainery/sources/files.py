@@ -20,6 +20,12 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([(path, None, "no such file")], "path string, text string, error string")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Deal rows over the cores by a key where the files give less than half as many splits; else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() * 2 <= cores else rows
+
+
 def write_texts(rows: DataFrame, path: str, text: str = "text") -> None:
     """One line-ended text per row (UTF-8); folders are made as needed."""
     rows.select(F.regexp_replace(F.col(text), r"\n+\z", "").alias("value")).write.mode("append").text(path)
