@@ -15,6 +15,11 @@ its format:
 - e-mail addresses and secrets, whose formats are open, get a keyed hash in the
   same alphabet.
 
+IBANs are found first, apart from the other formats: of the strings that start where
+one may, the one of its country's length, or else the longest, whose check holds. Only
+these are the IBANs of the row's pattern, so a string that merely looks like one
+is left to the other formats.
+
 Dates permute within 1800-01-01..2199-12-31, which is 189 * 773 days. A match that
 fails its validation stays as it is. The key reaches executors as a literal of
 the plan: keep event logs as safe as the key.
@@ -35,11 +40,12 @@ KINDS = ("email", "secret", "iban", "date", "ip", "ssn", "phone", "account")
 
 _OPEN, _CLOSE = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_PATTERNS = (
+_BEFORE_IBAN = (
     r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*\.\p{L}{2,}+",
     _OPEN + r"[0-9a-fA-F]{32,128}+" + _CLOSE,
     _OPEN + r"(?=[A-Za-z0-9+/_-]{16})(?<=(?i:token|secret|passwd|password|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_-]{16,}+",
-    _OPEN + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _CLOSE,
+)
+_AFTER_IBAN = (
     _OPEN + r"(?:\d{4}[-/.]\d{2}[-/.]\d{2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})" + _CLOSE,
     r"(?<![\p{L}\p{N}]|\d\.)" + rf"{_OCTET}(?:\.{_OCTET}){{3}}" + r"(?![\p{L}\p{N}]|\.\d)",
     _OPEN + r"\d{3}-\d{2}-\d{4}" + _CLOSE,
@@ -48,7 +54,20 @@ _PATTERNS = (
     _OPEN + r"(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}" + _CLOSE,
     _OPEN + r"(?:\d{12,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?)" + _CLOSE,
 )
-PATTERN = "|".join(f"(?:{p})" for p in _PATTERNS)
+PATTERN = "|".join(f"(?:{p})" for p in _BEFORE_IBAN + _AFTER_IBAN)
+#: The same with a row's IBANs between these two.
+_HEAD = "|".join(f"(?:{p})" for p in _BEFORE_IBAN) + "|(?:(?=[A-Z]{2}[0-9]{2})" + _OPEN + "(?:"
+_TAIL = ")" + _CLOSE + ")|" + "|".join(f"(?:{p})" for p in _AFTER_IBAN)
+
+_IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+#: The longest string of an IBAN's shape from each place where one may start; they may overlap.
+_MAYBE_IBAN = r"(?=[A-Z])" + _OPEN + rf"(?=({_IBAN}){_CLOSE})[A-Z]{{2}}"
+#: The lengths of IBANs by country.
+_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 "
+    "HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 "
+    "RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+)
 
 
 def _text(value: str) -> str:
@@ -114,6 +133,26 @@ def _iban_rest(s: str) -> str:
     )
 
 
+def _iban_holds(m: str) -> str:
+    squeezed = f"replace({m}, ' ', '')"
+    return f"(length({squeezed}) BETWEEN 15 AND 34 AND {_iban_rest(f'concat(substr({squeezed}, 5), substr({squeezed}, 1, 4))')} = 1)"
+
+
+def _ibans(text: str) -> str:
+    """The distinct valid IBANs of a text: from each start that of its country's length, or else the longest."""
+    here = f"substr(w, n + 1, 1) IN ('', ' ') AND substr(w, 1, n) RLIKE {_text(f'^{_IBAN}$')} AND {_iban_holds('substr(w, 1, n)')}"
+    known = f"contains('{_LENGTHS}', concat(substr(w, 1, 2), length(replace(substr(w, 1, n), ' ', ''))))"
+    tried = f"transform(filter(sequence(15, greatest(15, length(w))), n -> {here}), n -> named_struct('known', {known}, 'n', n, 'm', substr(w, 1, n)))"
+    return f"array_distinct(filter(transform(regexp_extract_all({text}, {_text(_MAYBE_IBAN)}, 1), w -> array_max({tried}).m), p -> p IS NOT NULL))"
+
+
+def _by_pattern(ibans: str, use: str) -> str:
+    """SQL with `{}` for the pattern of a row with these IBANs; the pattern of most rows, without any, is a literal."""
+    longest_first = f"transform(array_sort(transform({ibans}, p -> named_struct('n', -length(p), 'm', p))), p -> p.m)"
+    own = f"concat({_text(_HEAD)}, array_join({longest_first}, '|'), {_text(_TAIL)})"
+    return f"IF(size({ibans}) <= 0, {use.replace('{}', _text(PATTERN))}, {use.replace('{}', own)})"
+
+
 def _date(m: str) -> str:
     """The date that m writes, day first unless only month first exists; null if none."""
     parts = f"split({m}, '[-/.]')"
@@ -123,18 +162,18 @@ def _date(m: str) -> str:
 
 
 def _kind(m: str) -> str:
-    d, squeezed = _only_digits(m), f"replace({m}, ' ', '')"
+    d = _only_digits(m)
     return f"""CASE
       WHEN contains({m}, '@') THEN 'email'
       WHEN {m} RLIKE '^[0-9a-fA-F]{{32,}}$' THEN 'secret'
-      WHEN {m} RLIKE '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9 ]+$' AND length({squeezed}) BETWEEN 15 AND 34 AND {_iban_rest(f"concat(substr({squeezed}, 5), substr({squeezed}, 1, 4))")} = 1 THEN 'iban'
+      WHEN {m} RLIKE '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9 ]+$' AND {_iban_holds(m)} THEN 'iban'
       WHEN {m} RLIKE '^([0-9]{{4}}[-/.][0-9]{{2}}[-/.][0-9]{{2}}|[0-9]{{1,2}}[-/.][0-9]{{1,2}}[-/.][0-9]{{4}})$' THEN IF({_date(m)} BETWEEN DATE'1800-01-01' AND DATE'2199-12-31', 'date', NULL)
       WHEN {m} RLIKE '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' THEN 'ip'
       WHEN {m} RLIKE '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN IF({m} RLIKE '^(000|666|9)' OR {m} RLIKE '-00-' OR {m} RLIKE '-0000$', NULL, 'ssn')
       WHEN {m} RLIKE '^[+(]' AND length({d}) BETWEEN 7 AND 15 THEN 'phone'
       WHEN {m} RLIKE '^[0-9]{{3}}[ .-][0-9]{{3}}[ .-][0-9]{{4}}$' THEN 'phone'
       WHEN {m} RLIKE '^[0-9 -]+$' AND length({d}) BETWEEN 12 AND 19 THEN 'account'
-      WHEN NOT {m} RLIKE ' ' AND NOT {m} RLIKE '^[A-Z]{{2}}[0-9]{{2}}' AND length({m}) >= 16 THEN 'secret'
+      WHEN NOT {m} RLIKE ' ' AND length({m}) >= 16 THEN 'secret'
     END"""
 
 
@@ -176,7 +215,7 @@ def _replacement(kind: str, m: str, keyed: _Keyed) -> str:
 
 def find(text: str = "text") -> Column:
     """The validated kind and the string of each match of a text column."""
-    matches = f"regexp_extract_all({text}, {_text(PATTERN)}, 0)"
+    matches = _let("b", _ibans(text), _by_pattern("b", f"regexp_extract_all({text}, {{}}, 0)"))
     return F.expr(f"transform({matches}, m -> named_struct('kind', {_kind('m')}, 'm', m))")
 
 
@@ -185,7 +224,9 @@ def replace(found: str, text: str, key: str) -> Column:
     keyed = _Keyed(key)
     cases = " ".join(f"WHEN '{k}' THEN {_replacement(k, 'v.m', keyed)}" for k in KINDS)
     fresh = f"transform({found}, v -> CASE v.kind {cases} ELSE v.m END)"
-    joined = f"array_join(zip_with(split({text}, {_text(PATTERN)}, -1), {fresh}, (a, b) -> concat(a, coalesce(b, ''))), '')"
+    ibans = f"array_distinct(transform(filter({found}, v -> v.kind = 'iban'), v -> v.m))"
+    pieces = _let("b", ibans, _by_pattern("b", f"split({text}, {{}}, -1)"))
+    joined = f"array_join(zip_with({pieces}, {fresh}, (a, b) -> concat(a, coalesce(b, ''))), '')"
     return F.expr(f"IF({text} IS NULL OR size({found}) <= 0, {text}, {joined})")
 
 

@@ -77,6 +77,18 @@ def test_pseudonyms(spark):
     assert pseudonyms(spark, "2024-02-29") == [iso] != pseudonyms(spark, "2024-02-29", key="other")
 
 
+def test_ibans_before_other_words(spark):
+    texts = ["pay BE68 5390 0754 7034 EUR 500 now", "BE68539007547034 BIC X", "ID12 4111 1111 1111 1111", "DE12 4111 1111 1111 1111 11 x", "BE68 5390 0754 7034 DE89 3704 0044 0532 0130 00 AT61 1904 3002 3457 3201 12", "token = AB12CDEF34GH56IJ", "BE68 5390 0754 7034@x"]
+    got = pseudonyms(spark, *texts)
+    a, b, card, other, three, token, last = got
+    assert re.fullmatch(r"pay BE\d\d( \d{4}){3} EUR 500 now", a) and re.fullmatch(r"BE\d{14} BIC X", b) and a[4:23].replace(" ", "") == b[:16] != "BE68539007547034"
+    assert re.fullmatch(r"ID12( \d{4}){4}", card) and luhn(card[4:]) == 0 and "4111 1111" not in card + other and other.startswith("DE12 ") and other.endswith(" x")
+    found = re.fullmatch(r"(BE\d\d(?: \d{4}){3}) (DE\d\d(?: \d{4}){4} \d\d) (AT\d\d(?: \d{4}){4}) 12", three).groups()
+    for iban in (x.replace(" ", "") for x in found):
+        assert int("".join(str(int(x, 36)) for x in iban[4:] + iban[:4])) % 97 == 1 and iban not in "".join(texts).replace(" ", "")
+    assert re.fullmatch(r"token = [0-9A-F]{16}", token) and last[:19] == a[4:23]
+
+
 def test_feistel_is_a_permutation(spark):
     keyed = pii._Keyed("k")
     days = spark.range(146097).select(F.expr(keyed.feistel("'date'", "id DIV 773", "id % 773", "189L", "773L")).alias("f"))
