@@ -235,3 +235,15 @@ def test_mixtures(spark):
     share, _ = langid.mixtures(model, [mixed, "", "123 !?"])
     found = dict(zip(model.languages, share[0].tolist(), strict=True))
     assert abs(found["en"] - 0.75) < 0.1 and abs(found["fr"] - 0.25) < 0.1 and share[1:].sum() == 0
+
+
+def test_more_than_64_languages(spark):
+    r = random.Random(4)
+    names = [f"l{i:03}" for i in range(90)]
+    words = {x: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)] for x in names}
+    rows = [(i, " ".join(r.choice(words[x]) for _ in range(60 if int(x[1:]) < 80 else 30)), x) for i, x in enumerate(names * 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.learn(docs)
+    assert model.languages == names
+    truth = {i: x for i, _, x in rows}
+    assert all(x.lang_pred == truth[x.doc_id] for x in langid.predict(docs, model).collect())
