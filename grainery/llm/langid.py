@@ -227,7 +227,7 @@ def _mixed(model: Model, codes: np.ndarray, starts: np.ndarray, cut: np.ndarray,
         free, _ = fit(growing, None, np.full((len(growing), k), 1 / k, np.float32), STEPS)
         rank = np.argsort(-free, axis=1, kind="stable")
         value, m = one[growing], 2
-        while len(growing) and m <= min(k, 5):
+        while len(growing) and m <= k:
             columns = rank[:, :m]
             start = np.take_along_axis(free, columns, 1) + np.float32(1e-3)
             fitted, gain = fit(growing, columns, start / start.sum(axis=1, keepdims=True), RESTEPS)

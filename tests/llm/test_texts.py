@@ -247,3 +247,19 @@ def test_more_than_64_languages(spark):
     assert model.languages == names
     truth = {i: x for i, _, x in rows}
     assert all(x.lang_pred == truth[x.doc_id] for x in langid.predict(docs, model).collect())
+
+
+def test_six_languages_whatever_the_neighbours(spark, monkeypatch):
+    r = random.Random(5)
+    names = [f"l{i}" for i in range(8)]
+    words = {x: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)] for x in names}
+    rows = [(" ".join(r.choice(words[x]) for _ in range(400)), x) for x in names]
+    model = langid.learn(spark.createDataFrame(rows, "text string, lang string"))
+    text = " ".join(r.choice(words[x]) for x in names[:6] for _ in range(300))
+    alone, _ = langid.mixtures(model, [text])
+    assert [x for x, p in zip(names, alone[0], strict=True) if p > 0.1] == names[:6]
+    several, _ = langid.mixtures(model, ["x y", text, *(t for t, _ in rows), " ".join(words["l0"] + words["l7"])])
+    assert (several[1] == alone[0]).all()
+    monkeypatch.setattr(langid, "ENTRIES", 8 * 100)  # a text in many blocks
+    blocks, _ = langid.mixtures(model, [text, rows[0][0]])
+    assert abs(blocks[0] - alone[0]).max() < 1e-3 and blocks[1].argmax() == 0
