@@ -36,27 +36,25 @@ from pyspark.sql import functions as F
 
 from grainery.llm import common, tokenizing
 
-#: Sources beyond this number, the smallest ones, share the last queue.
-MAX_QUEUES = 64
-#: Windows whose limits are computed at once.
-BLOCK = 2048
+#: Windows whose limits are computed at once for so many queues; for more queues, fewer windows at once.
+BLOCK, MAX_QUEUES = 2048, 64
 
 
-def queue_names(docs: DataFrame, most: int = MAX_QUEUES) -> list[str | None]:
-    """The sources that have queues of their own, the largest first (at most `most` - 1 rows reach the driver)."""
-    counts = docs.groupBy("source").count().orderBy(F.desc("count"), F.asc_nulls_first("source"))
-    return [r[0] for r in counts.limit(most - 1).collect()]
+def queue_names(docs: DataFrame) -> list[str | None]:
+    """The sources, each of them a queue, the largest first (one row of each reaches the driver)."""
+    counts = docs.groupBy(F.col("source").cast("string").alias("source")).count().orderBy(F.desc("count"), F.asc_nulls_first("source"))
+    return [r[0] for r in counts.collect()]
 
 
 @common.tidy
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int, names: list[str | None]) -> Iterator[pa.RecordBatch]:
     enc, part = tokenizing.encoder(path), TaskContext.get().partitionId()
     place = {name: i for i, name in enumerate(names)}
-    sofar = np.zeros(len(names) + 1, np.int64)
+    sofar = np.zeros(len(names), np.int64)
     for batch in batches:
         for rows in common.slices(batch):
             ids, at = tokenizing.with_end(*enc.encode(rows.column("text")), end)
-            queue = np.array([place.get(s, len(names)) for s in rows.column("source").to_pylist()], np.int32)
+            queue = np.array([place[s] for s in rows.column("source").to_pylist()], np.int32)
             n = np.diff(at)
             before = np.empty(len(n), np.int64)
             for q in np.unique(queue).tolist():
@@ -76,11 +74,17 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int, names: list[
 class Schedule:
     """What each queue has been served after any number of windows."""
 
-    def __init__(self, totals: np.ndarray, rates: np.ndarray, window: int):
+    def __init__(self, totals: np.ndarray, rates: np.ndarray, window: int, queues: int = MAX_QUEUES):
         self.totals, self.rates, self.window = totals.astype(np.float64), rates.astype(np.float64), window
         self.total = int(totals.sum())
-        self.breaks = np.concatenate([[0.0], np.unique(self.totals / self.rates)])
-        self.at_breaks = np.minimum(self.totals, self.breaks[:, None] * self.rates).sum(axis=1)
+        self.block = max(1, min(BLOCK, BLOCK * queues // len(rates)))
+        ends = self.totals / self.rates
+        order = np.argsort(ends)
+        self.breaks = np.concatenate([[0.0], np.unique(ends)])
+        over = np.searchsorted(ends[order], self.breaks, "right")
+        done = np.concatenate([[0.0], np.cumsum(self.totals[order])])
+        left = np.concatenate([np.cumsum(self.rates[order][::-1])[::-1], [0.0]])
+        self.at_breaks = np.maximum.accumulate(done[over] + self.breaks * left[over])
 
     def served(self, windows: np.ndarray) -> np.ndarray:
         """Tokens of each queue (columns) among the first windows * window tokens (rows)."""
@@ -109,14 +113,25 @@ class Schedule:
 
 def cut(schedule: Schedule, queue: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Pieces of documents at begin in their queues: (row, start, length, window, offset), by row."""
-    out = []
+    out, spans = [], []
     for q in np.unique(queue).tolist():
         mine = np.flatnonzero(queue == q)
         first, last = schedule.windows_of(q, int(begin[mine].min()), int((begin[mine] + n[mine]).max()))
-        for lo in range(first, last, BLOCK):
-            hi = min(last, lo + BLOCK)
-            served = schedule.served(np.arange(lo, hi + 1))
-            limit, ahead = served[:, q], np.diff(served[:, :q].sum(axis=1))
+        spans.append((first, last, q, mine))
+    spans.sort(key=lambda x: x[:2])
+    at, done, open_ = 0, 0, []
+    while at < len(spans) or open_:  # the limits of some windows are computed once for all queues
+        if not open_:
+            done = max(done, spans[at][0])
+        hi = done + schedule.block
+        while at < len(spans) and spans[at][0] < hi:
+            open_.append(spans[at])
+            at += 1
+        lo, hi = done, min(hi, max(x[1] for x in open_))
+        served = schedule.served(np.arange(lo, hi + 1))
+        before = np.diff(np.cumsum(served, axis=1) - served, axis=0)
+        for _, _, q, mine in open_:
+            limit, ahead = served[:, q], before[:, q]
             rows = mine[(begin[mine] < limit[-1]) & (begin[mine] + n[mine] > limit[0])]
             a = np.maximum(begin[rows], limit[0])
             b = np.minimum(begin[rows] + n[rows], limit[-1])
@@ -128,6 +143,7 @@ def cut(schedule: Schedule, queue: np.ndarray, begin: np.ndarray, n: np.ndarray)
             full = stop > start
             row, k, start, stop = row[full], k[full], start[full], stop[full]
             out.append((row, start - begin[row], stop - start, lo + k, ahead[k] + start - limit[k]))
+        done, open_ = hi, [x for x in open_ if x[1] > hi]
     joined = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
     order = np.lexsort((joined[1], joined[0]))
     return tuple(x[order] for x in joined)
@@ -164,11 +180,12 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = 10
     """Pieces of docs(doc_id, text, source): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     targets: the share of each window by source, as long as the source lasts;
-    sources without one take their share of the tokens.
+    sources without one take their share of the tokens. max_queues: for more
+    sources, the limits of fewer windows are computed at once.
     """
     common.bound_batches(docs.sparkSession)
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    names = queue_names(docs, max_queues)
+    names = queue_names(docs)
     coded = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text").mapInArrow(
         functools.partial(_encode, path=tokenizer_path, end=end_id, names=names), f"part int, doc_id {kind}, queue int, n bigint, before bigint, ids binary"
     )
@@ -179,9 +196,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = 10
     found = {r[0]: (r[1], r[2]) for r in base.groupBy("queue").agg(F.sum("n"), F.count("*")).collect()}
     if not found:
         return spark.createDataFrame([], f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
-    totals = np.array([found.get(q, (0, 0))[0] for q in range(len(names) + 1)], np.int64)
-    asked = np.array([(targets or {}).get(name, np.nan) for name in names] + [np.nan], np.float64) * totals.sum()
-    schedule = Schedule(totals, np.maximum(np.where(np.isnan(asked), totals, asked), 1e-9), window)
+    totals = np.array([found.get(q, (0, 0))[0] for q in range(len(names))], np.int64)
+    asked = np.array([(targets or {}).get(name, np.nan) for name in names], np.float64) * totals.sum()
+    schedule = Schedule(totals, np.maximum(np.where(np.isnan(asked), totals, asked), 1e-9), window, max_queues)
     small = sum(rows for _, rows in found.values()) * 48 <= common.BROADCAST_BYTES
     placed = coded.join(F.broadcast(base) if small else base, ["part", "queue"]).select(
         "part", "doc_id", "queue", coded["n"], (F.col("base") + F.col("before")).alias("begin"), "ids"

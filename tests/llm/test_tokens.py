@@ -133,6 +133,23 @@ def test_mixture(spark, sf_dir):
             assert abs(r[2] - 1024 * by[r.source] / total) <= 2  # the deficit carried in and out
 
 
+def test_more_than_64_sources(spark):
+    rows = [(100 * i + j, " ".join(["word"] * (60 + i)), f"s{i:03}") for i in range(100) for j in range(6)] + [(-1, "rare " * 9000, "rare")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for targets in (None, {"rare": 0.2}):
+        rows = packing.pack(docs, PATH, targets=targets).join(docs.select("doc_id", "source"), "doc_id").groupBy("sequence_id", "source").sum("length").collect()
+        by, share = {}, {(r.sequence_id, r.source): r[2] for r in rows}
+        for r in rows:
+            by[r.source] = by.get(r.source, 0) + r[2]
+        total, last = sum(by.values()), max(r.sequence_id for r in rows)
+        windows = range(last) if targets is None else range(5)
+        for source, n in by.items():
+            want = 1024 * n / total
+            if targets:
+                want = 1024 * (0.2 if source == "rare" else n / total) / (0.2 + 1 - by["rare"] / total)
+            assert all(abs(share.get((w, source), 0) - want) <= 2 for w in windows), source
+
+
 def test_schedule():
     r = np.random.default_rng(3)
     for _ in range(20):
