@@ -14,6 +14,10 @@ Every other vector is in every table. Cells are dealt to blocks by a hash; if a
 holds more rows than a block may, all cells are salted by row, and queries go to every
 salt. A query goes to a block only if it probes a cell of it.
 
+The probed cells may miss a row the likelier, the smaller its cosine. A query that
+met fewer than k rows, or whose k-th best is below the cosine at which more than
+MISSED of the rows are missed, is scored against all rows, block by block.
+
 Vectors that are null, empty, zero or have null or non-finite components take
 no part; only vectors of the same length are compared.
 Defined results: fewer candidates than k give fewer rows; repeated ids are rows
@@ -36,6 +40,8 @@ from grainery.llm import common
 
 #: Tables, projections in each, cell width for unit vectors, cells probed in each table, rows in a block, seed.
 TABLES, PROJECTIONS, WIDTH, PROBES, BLOCK, SEED = 8, 6, 1.5, 100, 20_000, 11
+#: The share of rows at a cosine that probing may miss.
+MISSED = 0.08
 
 
 class Family:
@@ -72,6 +78,28 @@ def _moves(projections: int) -> np.ndarray:
     return np.array(list(itertools.product((0, -1, 1), repeat=projections)), np.int64)
 
 
+@functools.cache
+def reach(tables: int, projections: int, width: float, probes: int) -> float:
+    """The least cosine from which on at most MISSED of the rows are in no probed cell, by simulation."""
+    random, moves = np.random.default_rng(SEED), _moves(projections)
+    shape = (2000, tables, projections)
+    own, other, shift = random.normal(size=shape), random.normal(size=shape), random.uniform(0, width, size=shape)
+    at = (own + shift) / width
+    cell = np.floor(at)
+    inside = at - cell
+    cost = (inside**2) @ (moves == -1).T + ((1 - inside) ** 2) @ (moves == 1).T
+    last = np.partition(cost, min(probes, len(moves)) - 1, axis=-1)[..., min(probes, len(moves)) - 1]
+    least = 1.0
+    for cosine in np.arange(0.99, -1.0, -0.01):
+        move = np.floor((cosine * own + np.sqrt(1 - cosine**2) * other + shift) / width) - cell
+        price = np.where(move == -1, inside**2, np.where(move == 1, (1 - inside) ** 2, 0)).sum(axis=-1)
+        met = (np.abs(move) <= 1).all(axis=-1) & (price <= last)
+        if 1 - met.any(axis=1).mean() > MISSED:
+            break
+        least = float(cosine)
+    return least
+
+
 @functools.cache
 def _family(*parameters) -> Family:
     return Family(*parameters)
@@ -142,18 +170,50 @@ def _best(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
         found = np.concatenate([order[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
         if not len(found):
             continue
-        score = cosines(asked[q], vectors[found])
-        if len(found) > k + 1:  # ties with the last one stay
-            last = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
-            found, score = found[score >= last], score[score >= last]
-        for mine in own[q]:
-            near = sorted((-s, i) for r, s in zip(found.tolist(), score.tolist(), strict=True) for i in ids[r] if i != mine)[:k]
-            out[0] += [mine] * len(near)
-            out[1] += [i for _, i in near]
-            out[2] += [-s for s, _ in near]
+        _add(out, own[q], found, cosines(asked[q], vectors[found]), ids, k)
+    return _table(out)
+
+
+def _add(out: list[list], own: list[int], found: np.ndarray, score: np.ndarray, ids: list[list[int]], k: int) -> None:
+    """Add the k best of the found rows for a query's ids."""
+    if len(found) > k + 1:  # ties with the last one stay
+        last = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
+        found, score = found[score >= last], score[score >= last]
+    for mine in own:
+        near = sorted((-s, i) for r, s in zip(found.tolist(), score.tolist(), strict=True) for i in ids[r] if i != mine)[:k]
+        out[0] += [mine] * len(near)
+        out[1] += [i for _, i in near]
+        out[2] += [-s for s, _ in near]
+
+
+def _table(out: list[list]) -> pa.Table:
     return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], schema=_FOUND)
 
 
+@common.trimmed
+def _best_of_all(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    """The best of all rows of a block for each query."""
+    if not rows.num_rows or not queries.num_rows:
+        return _FOUND.empty_table()
+    size = rows.column("size")[0].as_py()
+    vectors, asked = _matrix(rows.column("vector"), size), _matrix(queries.column("vector"), size)
+    ids, out = rows.column("ids").to_pylist(), [[], [], []]
+    for query, own in zip(asked, queries.column("ids").to_pylist(), strict=True):
+        _add(out, own, np.arange(len(vectors)), cosines(query, vectors), ids, k)
+    return _table(out)
+
+
+def _all_rows(kinds: DataFrame, queries: DataFrame, n: int, k: int, block: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of each block of rows for some queries, without hashing."""
+    blocks, groups = max(1, -(-n // block)), max(1, -(-queries.count() // block))
+    dealt = lambda column, parts: F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    rows = kinds.withColumn("block", dealt("vector", blocks)).withColumn("group", every(groups))
+    asked = queries.withColumn("group", dealt("ids", groups)).withColumn("block", every(blocks))
+    keys = ["block", "group", "size"]
+    return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(functools.partial(_best_of_all, k=k), "query_id bigint, vec_id bigint, score double")
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """id, vector of the rows of (vec_id, embedding) that take part."""
     bad = "x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity')"
@@ -182,6 +242,15 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = TABLE
     asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     keys = ["table", "block", "salt", "size"]
     found = index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(functools.partial(_best, k=k), "query_id bigint, vec_id bigint, score double")
+    found = common.materialize(_ranked(found, k), "ann-found")
+    sure = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter((F.col("n") >= k) & (F.col("least") >= reach(tables, projections, width, probes)))
+    unsure = common.materialize(queries.join(sure.select("query_id"), F.element_at("ids", 1) == F.col("query_id"), "left_anti"), "ann-unsure")
+    if unsure.isEmpty():
+        return found
+    return _ranked(found.select("query_id", "vec_id", "score").union(_all_rows(kinds, unsure, n, k, block)), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return merged.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,4 +1,5 @@
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +31,16 @@ def test_few_candidates(spark):
     assert [(r.rank, r.vec_id) for r in neighbours.nearest(df).orderBy("rank").collect()] == [(1, 1), (2, 2)]
 
 
+def test_far_candidates(spark):
+    r = np.random.default_rng(6)
+    few = [(i, v.tolist()) for i, v in enumerate(np.vstack([np.eye(4), -np.eye(4)]))]
+    wide = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(300, 512)))] + [(1000, [-1.0] * 512)]
+    for rows, every, block in ((few, 1, 3), (wide, 10, 20_000), (wide, 10, 50)):
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+        got = {(x.query_id, x.rank, x.vec_id, x.score) for x in neighbours.nearest(df, every=every, block=block).collect()}
+        assert got == {(x.query_id, x.rank, x.vec_id, x.score) for x in neighbours.exact(df, every=every).collect()}
+
+
 def test_pipeline(spark):
     """Every stage against the plain reading of its operator's own results."""
     d = "/root/testdata/sf0.01"
