@@ -387,6 +387,17 @@ def neighbour_expansion(spark, sf_dir):
     return search.neighbours(rows.filter("document_id % 10 = 0"), rows).select("id", "document_id", "chunk_index", "context_before", "context_after")
 
 
+@query(f"""
+WITH RECURSIVE {_SNIPPETS}
+SELECT s.id, s.document_id, s.chunk_index, b.content AS context_before, a.content AS context_after
+FROM snippets s LEFT JOIN snippets b ON b.document_id = s.document_id AND b.kind = 'excerpt' AND b.chunk_index = s.chunk_index - 1
+LEFT JOIN snippets a ON a.document_id = s.document_id AND a.kind = 'excerpt' AND a.chunk_index = s.chunk_index + 1
+""")
+def neighbour_expansion_whole(spark, sf_dir):
+    rows = _snippets(spark, sf_dir)
+    return search.neighbours(rows, rows).select("id", "document_id", "chunk_index", "context_before", "context_after")
+
+
 @query(f"""
 WITH RECURSIVE {_SNIPPETS}, {_bm25_sql(_TERMS, 'relaxed', 'snippets', 'id', 'content')},
 best AS (SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 10)

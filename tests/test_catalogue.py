@@ -39,3 +39,13 @@ def test_entry_points(spark):
 
     assert set(catalogue.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_every_snippet_is_expanded(spark, sf_dir):
+    rows = {r.id: r for r in catalogue._snippets(spark, sf_dir).collect()}
+    at = {(r.document_id, r.chunk_index): r.content for r in rows.values() if r.kind == "excerpt"}
+    got = catalogue.QUERIES["neighbour_expansion_whole"](spark, sf_dir).collect()
+    assert sorted(r.id for r in got) == sorted(rows) and {r.document_id % 10 for r in got} == set(range(10))
+    for r in got:
+        near = (None, None) if r.chunk_index is None else (at.get((r.document_id, r.chunk_index - 1)), at.get((r.document_id, r.chunk_index + 1)))
+        assert (r.context_before, r.context_after) == near
