@@ -516,19 +516,32 @@ def retired_counts(spark, sf_dir):
     return memory.retired(_log(spark, sf_dir))
 
 
+def _resolved(spark, sf_dir, customers) -> DataFrame:
+    n = _table(spark, sf_dir, "nation")
+    key = F.col("n_nationkey").cast("string")
+    entities = n.select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name"), F.concat(F.lit("The Land "), key).alias("full_name"), F.lit(None).cast("string").alias("relation"), F.concat(F.lit("AL"), (F.col("n_nationkey") * 3).cast("string"), F.lit(", ")).alias("aliases"))
+    r = _table(spark, sf_dir, "region")
+    needles = customers.select(F.concat("c_name", F.lit(" of NATION_"), (F.col("c_nationkey") % 30).cast("string")).alias("needle"))
+    needles = needles.union(r.select(F.concat(F.lit("Land "), (F.col("r_regionkey") + 1).cast("string")))).union(r.select(F.concat(F.lit("aL"), (F.col("r_regionkey") * 3).cast("string")))).union(spark.createDataFrame([(" ",)], "needle string"))
+    return memory.resolve(entities, needles)
+
+
 @query("""
 WITH ent AS (SELECT n_nationkey::BIGINT AS id, lower(n_name) AS name FROM nation UNION ALL SELECT n_nationkey::BIGINT, 'the land ' || n_nationkey FROM nation UNION ALL SELECT n_nationkey::BIGINT, 'al' || (n_nationkey * 3) FROM nation),
 need AS (SELECT c_name || ' of NATION_' || (c_nationkey % 30) AS needle FROM customer WHERE c_custkey < 200 UNION SELECT 'Land ' || (r_regionkey + 1) FROM region UNION SELECT 'aL' || (r_regionkey * 3) FROM region UNION SELECT ' ')
 SELECT DISTINCT needle, id AS entity_id FROM need JOIN ent ON trim(needle) <> '' AND (contains(lower(trim(needle)), name) OR contains(name, lower(trim(needle))))
 """)
 def entity_resolve(spark, sf_dir):
-    n = _table(spark, sf_dir, "nation")
-    key = F.col("n_nationkey").cast("string")
-    entities = n.select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name"), F.concat(F.lit("The Land "), key).alias("full_name"), F.lit(None).cast("string").alias("relation"), F.concat(F.lit("AL"), (F.col("n_nationkey") * 3).cast("string"), F.lit(", ")).alias("aliases"))
-    c, r = _table(spark, sf_dir, "customer").filter("c_custkey < 200"), _table(spark, sf_dir, "region")
-    needles = c.select(F.concat("c_name", F.lit(" of NATION_"), (F.col("c_nationkey") % 30).cast("string")).alias("needle"))
-    needles = needles.union(r.select(F.concat(F.lit("Land "), (F.col("r_regionkey") + 1).cast("string")))).union(r.select(F.concat(F.lit("aL"), (F.col("r_regionkey") * 3).cast("string")))).union(spark.createDataFrame([(" ",)], "needle string"))
-    return memory.resolve(entities, needles)
+    return _resolved(spark, sf_dir, _table(spark, sf_dir, "customer").filter("c_custkey < 200"))
+
+
+@query("""
+WITH ent AS (SELECT n_nationkey::BIGINT AS id, lower(n_name) AS name FROM nation UNION ALL SELECT n_nationkey::BIGINT, 'the land ' || n_nationkey FROM nation UNION ALL SELECT n_nationkey::BIGINT, 'al' || (n_nationkey * 3) FROM nation),
+need AS (SELECT c_name || ' of NATION_' || (c_nationkey % 30) AS needle FROM customer UNION SELECT 'Land ' || (r_regionkey + 1) FROM region UNION SELECT 'aL' || (r_regionkey * 3) FROM region UNION SELECT ' ')
+SELECT DISTINCT needle, id AS entity_id FROM need JOIN ent ON trim(needle) <> '' AND (contains(lower(trim(needle)), name) OR contains(name, lower(trim(needle))))
+""")
+def entity_resolve_whole(spark, sf_dir):
+    return _resolved(spark, sf_dir, _table(spark, sf_dir, "customer"))
 
 
 @query("""

@@ -49,3 +49,15 @@ def test_every_snippet_is_expanded(spark, sf_dir):
     for r in got:
         near = (None, None) if r.chunk_index is None else (at.get((r.document_id, r.chunk_index - 1)), at.get((r.document_id, r.chunk_index + 1)))
         assert (r.context_before, r.context_after) == near
+
+
+def test_every_customer_is_resolved(spark):
+    d = "/root/testdata/sf0.01"  # more customers than 200
+    n = spark.read.parquet(f"{d}/nation.parquet").collect()
+    names = [(r.n_nationkey, x) for r in n for x in (r.n_name.lower(), f"the land {r.n_nationkey}", f"al{r.n_nationkey * 3}")]
+    want = set()
+    for c in spark.read.parquet(f"{d}/customer.parquet").collect():
+        needle = f"{c.c_name} of NATION_{c.c_nationkey % 30}"
+        want |= {(needle, i) for i, x in names if x in needle.lower() or needle.lower() in x}
+    got = {(r.needle, r.entity_id) for r in catalogue.QUERIES["entity_resolve_whole"](spark, d).collect()}
+    assert {x for x in got if " of NATION_" in x[0]} == want and len({x for x, _ in want}) > 200
