@@ -616,6 +616,37 @@ def caption_dedupe(spark, sf_dir):
     return captions.dedupe(_cues(spark, sf_dir), "conv_id").select("conv_id", "segment", "start", "duration", "text")
 
 
+def _whole_cues(spark, sf_dir) -> DataFrame:
+    """Rolling cues over all words of each turn: of every three words two, all, the last two, and an empty cue."""
+    t = _table(spark, sf_dir, "conversations").withColumn("w", F.split("text", r"[ \n]+"))
+    t = t.select("conv_id", "turn", "w", F.explode(F.expr("sequence(0, (size(w) - 1) DIV 3)")).alias("s"))
+    at = lambda k: F.col("s") * 4 + k
+    part = lambda k, a, n: F.struct((F.col("turn").cast("bigint") * (1 << 32) + at(k)).alias("position"), (F.col("turn") * 100000.0 + at(k) * 2).alias("start"), F.array_join(F.slice("w", (F.col("s") * 3 + a).cast("int"), n), " ").alias("text"))
+    cues = t.select("conv_id", F.explode(F.array(part(0, 1, 2), part(1, 1, 3), part(2, 2, 2), part(3, 1, 0))).alias("c")).select("conv_id", "c.*")
+    return cues.withColumn("duration", F.lit(2.0)).withColumn("timestamp", X.format_stamp("start"))
+
+
+@query(r"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, regexp_split_to_array(text, '[ \n]+') AS w FROM conversations),
+s AS (SELECT *, unnest(range(0, (len(w) + 2) // 3)) AS s FROM t),
+k AS (SELECT unnest([0, 1, 2, 3]) AS k),
+c AS (SELECT conv_id, turn::BIGINT * 4294967296 + s * 4 + k AS position, turn * 100000::DOUBLE + 2 * (s * 4 + k) AS start,
+  array_to_string(CASE k WHEN 0 THEN w[s * 3 + 1 : s * 3 + 2] WHEN 1 THEN w[s * 3 + 1 : s * 3 + 3] WHEN 2 THEN w[s * 3 + 2 : s * 3 + 3] ELSE [] END, ' ') AS text FROM s, k),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY position) AS p FROM c WHERE text <> ''),
+f AS (
+  SELECT conv_id, p, 0 AS segment, start, 2.0::DOUBLE AS duration, text FROM o WHERE p = 1
+  UNION ALL
+  SELECT o.conv_id, o.p, CASE WHEN contains(f.text, o.text) OR starts_with(o.text, f.text) THEN f.segment ELSE f.segment + 1 END,
+    CASE WHEN contains(f.text, o.text) OR starts_with(o.text, f.text) THEN f.start ELSE o.start END,
+    CASE WHEN contains(f.text, o.text) THEN greatest(o.start + 2 - f.start, f.duration) WHEN starts_with(o.text, f.text) THEN o.start + 2 - f.start ELSE 2 END,
+    CASE WHEN contains(f.text, o.text) THEN f.text ELSE o.text END
+  FROM f JOIN o ON o.conv_id = f.conv_id AND o.p = f.p + 1)
+SELECT conv_id, segment, start, arg_max(duration, p) AS duration, arg_max(text, p) AS text FROM f GROUP BY conv_id, segment, start
+""")
+def caption_dedupe_whole(spark, sf_dir):
+    return captions.dedupe(_whole_cues(spark, sf_dir), "conv_id").select("conv_id", "segment", "start", "duration", "text")
+
+
 @query(r"""
 SELECT conv_id, turn AS position, (turn * 70)::DOUBLE AS start, 2.5::DOUBLE AS duration,
   CASE WHEN turn * 70 >= 3600 THEN lpad((turn * 70 // 3600)::VARCHAR, 2, '0') || ':' ELSE '' END || lpad((turn * 70 % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((turn * 70 % 60)::VARCHAR, 2, '0') AS timestamp,

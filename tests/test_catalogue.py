@@ -61,3 +61,12 @@ def test_every_customer_is_resolved(spark):
         want |= {(needle, i) for i, x in names if x in needle.lower() or needle.lower() in x}
     got = {(r.needle, r.entity_id) for r in catalogue.QUERIES["entity_resolve_whole"](spark, d).collect()}
     assert {x for x in got if " of NATION_" in x[0]} == want and len({x for x, _ in want}) > 200
+
+
+def test_every_word_is_captioned(spark, sf_dir):
+    words, seen = {}, {}
+    for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect():
+        words.setdefault(r.conv_id, set()).update(r.text.split())
+    for r in catalogue.QUERIES["caption_dedupe_whole"](spark, sf_dir).collect():
+        seen.setdefault(r.conv_id, set()).update(r.text.split())
+    assert seen == words
