@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from grainery import schemas
 from grainery.functions import text as X
 from grainery.operators import metadata
+from grainery.sources import shared
 
 
 def split_rejects(batch: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]:
@@ -29,22 +30,28 @@ def first_error(*checks: tuple[Column, str]) -> Column:
 def number(rows: DataFrame, table: DataFrame, order: list[str]) -> DataFrame:
     """Give ids after the table's greatest one, in the order given.
 
-    Two passes and no single-task sort: rows are range-partitioned by the order and
-    counted per partition; a small table of offsets completes the local numbers.
+    No single-task sort: rows are range-partitioned by the order, and each gets its
+    partition and its place there. They are written to the shared folder at once, as
+    adaptive execution may cut the partitions anew in every run of a plan; counts by
+    partition and numbers are then read from what was written.
     """
-    greatest = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("greatest"))
-    parts = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    local = parts.withColumn("__local", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    counts = local.groupBy("__part").agg(F.count("*").alias("__n"))
+    greatest = table.agg(F.max("id")).first()[0] or 0
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = shared.materialize(ordered.withColumn("__place", F.monotonically_increasing_id()), "numbered")  # the partition above 33 bits of place
+    part = F.shiftright("__place", 33)
+    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    placed = local.join(F.broadcast(before), "__part").crossJoin(F.broadcast(greatest))  # one row
-    return placed.withColumn("id", F.col("greatest") + F.col("__before") + F.col("__local")).drop("greatest", "__part", "__local", "__before")
+    numbered = placed.withColumn("__part", part).join(F.broadcast(before), "__part")  # one row for each partition of the shuffle
+    local = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return numbered.withColumn("id", F.lit(int(greatest)) + F.col("__before") + local).drop("__part", "__place", "__before")
 
 
 def capture(batch: DataFrame, documents: DataFrame, order: str = "arrival") -> tuple[DataFrame, DataFrame, DataFrame]:
     """New documents, duplicates (with the id they repeat), and rejects.
 
     A filled url that is known, or came earlier in the batch, is a duplicate; a null or empty one never is.
+    `order` holds a different value in each row. A url's first row comes from a partial
+    aggregation and is found again by its place, so that a url of very many rows is no hot task.
     """
     error = first_error(
         (~F.coalesce(F.col("source_type").isin(*schemas.SOURCE_TYPES), F.lit(False)), "unknown source_type"), (X.blank("raw_text"), "empty text")
@@ -54,11 +61,11 @@ def capture(batch: DataFrame, documents: DataFrame, order: str = "arrival") -> t
     known = documents.filter(F.coalesce("url", F.lit("")) != "").groupBy(F.col("url").alias("__url")).agg(F.min("id").alias("__known"))
     seen = good.join(known, key == F.col("__url"), "left").drop("__url")
     linked = seen.filter(key.isNotNull())
-    rank = linked.withColumn("__rank", F.row_number().over(Window.partitionBy("url").orderBy(order)))
-    fresh = rank.filter("__known IS NULL AND __rank = 1").drop("__rank", "__known").unionByName(seen.filter(key.isNull()).drop("__known"))
+    first = linked.filter("__known IS NULL").groupBy("url").agg(F.min(order).alias(order)).select(order)
+    fresh = linked.join(first, order, "left_semi").drop("__known").unionByName(seen.filter(key.isNull()).drop("__known"))
     added = number(fresh, documents, [order])
     named = added.filter(key.isNotNull()).select(F.col("url").alias("__url"), F.col("id").alias("__new"))
-    again = rank.filter("__known IS NOT NULL OR __rank > 1").join(named, F.col("url") == F.col("__url"), "left")
+    again = linked.join(first, order, "left_anti").join(named, F.col("url") == F.col("__url"), "left")
     duplicates = again.select(order, "url", F.coalesce("__known", "__new").alias("document_id"), F.lit(True).alias("duplicate"))
     return schemas.migrate(added.drop(order), "documents"), duplicates, rejects
 

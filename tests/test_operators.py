@@ -234,3 +234,27 @@ def test_sorted_observations(spark, tmp_path):
     rows = spark.createDataFrame([(1, 2, "a", False), (2, 1, "b", True)], "id long, entity_id long, attribute string, superseded boolean")
     memory.write_observations(rows, str(tmp_path / "o"))
     assert spark.read.parquet(str(tmp_path / "o")).filter("entity_id = 1").count() == 1
+
+
+@pytest.mark.parametrize(("adaptive", "partitions"), [("true", "4"), ("true", "200"), ("false", "4")])
+def test_ids_of_large_batches(spark, tmp_path, adaptive, partitions):
+    """Every row is written, with dense ids, also where adaptive execution cuts the partitions anew in each run of a plan."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        n = F.col("id")
+        rows = spark.range(20_000).select((n * 7919 % 20_000).alias("position"), F.when(n % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), n.cast("string"))).alias("url"))
+        table = spark.createDataFrame([(41,)], "id bigint")
+        store.number(rows, table, ["position"]).write.parquet(str(tmp_path / "a"))
+        assert sorted((r.id, r.position) for r in spark.read.parquet(str(tmp_path / "a")).collect()) == [(42 + i, i) for i in range(20_000)]
+        batch = rows.withColumnRenamed("position", "arrival").withColumn("source_type", F.lit("url")).withColumn("raw_text", F.lit("x"))
+        added, again, rejects = store.capture(batch, schemas.empty(spark, "documents"))
+        added.write.parquet(str(tmp_path / "b"))
+        first = min(r.arrival for r in batch.filter("url = 'hot'").collect())
+        got = {r.url: r.id for r in spark.read.parquet(str(tmp_path / "b")).collect()}
+        assert sorted(got.values()) == list(range(1, len(got) + 1)) and len(got) == 20_000 - 6667 + 1
+        assert again.count() == 6666 and {r.document_id for r in again.collect()} == {got["hot"]} and again.filter(F.col("arrival") == first).count() == 0 and rejects.count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
