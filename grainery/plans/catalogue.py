@@ -380,20 +380,8 @@ WITH RECURSIVE {_SNIPPETS}
 SELECT s.id, s.document_id, s.chunk_index, b.content AS context_before, a.content AS context_after
 FROM snippets s LEFT JOIN snippets b ON b.document_id = s.document_id AND b.kind = 'excerpt' AND b.chunk_index = s.chunk_index - 1
 LEFT JOIN snippets a ON a.document_id = s.document_id AND a.kind = 'excerpt' AND a.chunk_index = s.chunk_index + 1
-WHERE s.document_id % 10 = 0
 """)
 def neighbour_expansion(spark, sf_dir):
-    rows = _snippets(spark, sf_dir)
-    return search.neighbours(rows.filter("document_id % 10 = 0"), rows).select("id", "document_id", "chunk_index", "context_before", "context_after")
-
-
-@query(f"""
-WITH RECURSIVE {_SNIPPETS}
-SELECT s.id, s.document_id, s.chunk_index, b.content AS context_before, a.content AS context_after
-FROM snippets s LEFT JOIN snippets b ON b.document_id = s.document_id AND b.kind = 'excerpt' AND b.chunk_index = s.chunk_index - 1
-LEFT JOIN snippets a ON a.document_id = s.document_id AND a.kind = 'excerpt' AND a.chunk_index = s.chunk_index + 1
-""")
-def neighbour_expansion_whole(spark, sf_dir):
     rows = _snippets(spark, sf_dir)
     return search.neighbours(rows, rows).select("id", "document_id", "chunk_index", "context_before", "context_after")
 
@@ -516,7 +504,8 @@ def retired_counts(spark, sf_dir):
     return memory.retired(_log(spark, sf_dir))
 
 
-def _resolved(spark, sf_dir, customers) -> DataFrame:
+def _resolved(spark, sf_dir) -> DataFrame:
+    customers = _table(spark, sf_dir, "customer")
     n = _table(spark, sf_dir, "nation")
     key = F.col("n_nationkey").cast("string")
     entities = n.select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name"), F.concat(F.lit("The Land "), key).alias("full_name"), F.lit(None).cast("string").alias("relation"), F.concat(F.lit("AL"), (F.col("n_nationkey") * 3).cast("string"), F.lit(", ")).alias("aliases"))
@@ -526,22 +515,13 @@ def _resolved(spark, sf_dir, customers) -> DataFrame:
     return memory.resolve(entities, needles)
 
 
-@query("""
-WITH ent AS (SELECT n_nationkey::BIGINT AS id, lower(n_name) AS name FROM nation UNION ALL SELECT n_nationkey::BIGINT, 'the land ' || n_nationkey FROM nation UNION ALL SELECT n_nationkey::BIGINT, 'al' || (n_nationkey * 3) FROM nation),
-need AS (SELECT c_name || ' of NATION_' || (c_nationkey % 30) AS needle FROM customer WHERE c_custkey < 200 UNION SELECT 'Land ' || (r_regionkey + 1) FROM region UNION SELECT 'aL' || (r_regionkey * 3) FROM region UNION SELECT ' ')
-SELECT DISTINCT needle, id AS entity_id FROM need JOIN ent ON trim(needle) <> '' AND (contains(lower(trim(needle)), name) OR contains(name, lower(trim(needle))))
-""")
-def entity_resolve(spark, sf_dir):
-    return _resolved(spark, sf_dir, _table(spark, sf_dir, "customer").filter("c_custkey < 200"))
-
-
 @query("""
 WITH ent AS (SELECT n_nationkey::BIGINT AS id, lower(n_name) AS name FROM nation UNION ALL SELECT n_nationkey::BIGINT, 'the land ' || n_nationkey FROM nation UNION ALL SELECT n_nationkey::BIGINT, 'al' || (n_nationkey * 3) FROM nation),
 need AS (SELECT c_name || ' of NATION_' || (c_nationkey % 30) AS needle FROM customer UNION SELECT 'Land ' || (r_regionkey + 1) FROM region UNION SELECT 'aL' || (r_regionkey * 3) FROM region UNION SELECT ' ')
 SELECT DISTINCT needle, id AS entity_id FROM need JOIN ent ON trim(needle) <> '' AND (contains(lower(trim(needle)), name) OR contains(name, lower(trim(needle))))
 """)
-def entity_resolve_whole(spark, sf_dir):
-    return _resolved(spark, sf_dir, _table(spark, sf_dir, "customer"))
+def entity_resolve(spark, sf_dir):
+    return _resolved(spark, sf_dir)
 
 
 @query("""
@@ -591,32 +571,6 @@ def status_updates(spark, sf_dir):
 
 
 def _cues(spark, sf_dir) -> DataFrame:
-    t = _table(spark, sf_dir, "conversations").withColumn("w", F.slice(F.split("text", r"[ \n]+"), 1, 3))
-    part = lambda k, by, a, n: F.struct((F.col("turn") * 4 + k).alias("position"), (F.col("turn") * 8.0 + by).alias("start"), F.array_join(F.slice("w", a, n), " ").alias("text"))
-    cues = t.select("conv_id", F.explode(F.array(part(0, 0.0, 1, 2), part(1, 2.0, 1, 3), part(2, 4.0, 2, 2), part(3, 6.0, 9, 1))).alias("c")).select("conv_id", "c.*")
-    return cues.withColumn("duration", F.lit(2.0)).withColumn("timestamp", X.format_stamp("start"))
-
-
-@query(r"""
-WITH RECURSIVE t AS (SELECT conv_id, turn, regexp_split_to_array(text, '[ \n]+')[1:3] AS w FROM conversations),
-k AS (SELECT unnest([0, 1, 2, 3]) AS k),
-c AS (SELECT conv_id, turn * 4 + k AS position, turn * 8.0::DOUBLE + 2 * k AS start, array_to_string(CASE k WHEN 0 THEN w[1:2] WHEN 1 THEN w WHEN 2 THEN w[2:3] ELSE [] END, ' ') AS text FROM t, k),
-o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY position) AS p FROM c WHERE text <> ''),
-f AS (
-  SELECT conv_id, p, 0 AS segment, start, 2.0::DOUBLE AS duration, text FROM o WHERE p = 1
-  UNION ALL
-  SELECT o.conv_id, o.p, CASE WHEN contains(f.text, o.text) OR starts_with(o.text, f.text) THEN f.segment ELSE f.segment + 1 END,
-    CASE WHEN contains(f.text, o.text) OR starts_with(o.text, f.text) THEN f.start ELSE o.start END,
-    CASE WHEN contains(f.text, o.text) THEN greatest(o.start + 2 - f.start, f.duration) WHEN starts_with(o.text, f.text) THEN o.start + 2 - f.start ELSE 2 END,
-    CASE WHEN contains(f.text, o.text) THEN f.text ELSE o.text END
-  FROM f JOIN o ON o.conv_id = f.conv_id AND o.p = f.p + 1)
-SELECT conv_id, segment, start, arg_max(duration, p) AS duration, arg_max(text, p) AS text FROM f GROUP BY conv_id, segment, start
-""")
-def caption_dedupe(spark, sf_dir):
-    return captions.dedupe(_cues(spark, sf_dir), "conv_id").select("conv_id", "segment", "start", "duration", "text")
-
-
-def _whole_cues(spark, sf_dir) -> DataFrame:
     """Rolling cues over all words of each turn: of every three words two, all, the last two, and an empty cue."""
     t = _table(spark, sf_dir, "conversations").withColumn("w", F.split("text", r"[ \n]+"))
     t = t.select("conv_id", "turn", "w", F.explode(F.expr("sequence(0, (size(w) - 1) DIV 3)")).alias("s"))
@@ -643,8 +597,8 @@ f AS (
   FROM f JOIN o ON o.conv_id = f.conv_id AND o.p = f.p + 1)
 SELECT conv_id, segment, start, arg_max(duration, p) AS duration, arg_max(text, p) AS text FROM f GROUP BY conv_id, segment, start
 """)
-def caption_dedupe_whole(spark, sf_dir):
-    return captions.dedupe(_whole_cues(spark, sf_dir), "conv_id").select("conv_id", "segment", "start", "duration", "text")
+def caption_dedupe(spark, sf_dir):
+    return captions.dedupe(_cues(spark, sf_dir), "conv_id").select("conv_id", "segment", "start", "duration", "text")
 
 
 @query(r"""
