@@ -1,8 +1,8 @@
 """Format-preserving pseudonyms for personal data, in SQL functions only.
 
-A text is split at the matches of one pattern. Each match is validated (date
-exists, check digits hold, octets fit, and so on) and replaced by a pseudonym of
-its format:
+One pass marks the matches of one pattern in a text, which is cut at the marks.
+Each match is validated (date exists, check digits hold, octets fit, and so on)
+and replaced by a pseudonym of its format:
 
 - numbers (accounts and cards, phones, social security numbers, IP addresses,
   IBANs) and dates go through a keyed Feistel network over exactly the values
@@ -10,22 +10,27 @@ its format:
   modulo the halves' ranges, so the map is a permutation and needs no cycle
   walking. Check digits are made to hold again, separators stay in place, and
   the value is taken without its separators, so that equal values written
-  differently stay linked. A card number's distance from a valid check digit is
-  kept, so valid numbers stay valid and distinct numbers stay distinct.
+  differently stay linked.
 - e-mail addresses and secrets, whose formats are open, get a keyed hash in the
   same alphabet.
 
-IBANs are found first, apart from the other formats: of the strings that start where
-one may, the one of its country's length, or else the longest, whose check holds. Only
-these are the IBANs of the row's pattern, so a string that merely looks like one
-is left to the other formats.
+An account or card is 12 to 19 digits whose Luhn check digit holds; order numbers
+and time stamps without it stay. IBANs and accounts written in groups are found first,
+apart from the other formats: of the strings that start where one may, the one of its
+country's length, or else the longest, whose check holds. Only these are the IBANs and
+spaced accounts of the row's pattern, so a string that merely looks like one is left to
+the other formats.
 
-Dates permute within 1800-01-01..2199-12-31, which is 189 * 773 days. A match that
-fails its validation stays as it is. The key reaches executors as a literal of
+A date is written year first, day first, or month first where day first does not
+exist. Days 1 to 12 of the months of 1800 to 2199 permute among themselves (400 * 144),
+and so do the later ones (9 * 9,833): the written order that a date needs to be read
+stays the same, so in no format two days share a pseudonym, and all formats agree.
+
+A match that fails its validation stays as it is. The key reaches executors as a literal of
 the plan: keep event logs as safe as the key.
 
 Defined results: a null text stays null and an empty one empty, with no matches;
-repeated rows get the same pseudonyms; other columns are kept as they are.
+repeated rows get the same pseudonyms; other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,28 +45,34 @@ KINDS = ("email", "secret", "iban", "date", "ip", "ssn", "phone", "account")
 
 _OPEN, _CLOSE = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: All matches start after something else than a letter or digit, which is tested once.
 _BEFORE_IBAN = (
-    r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*\.\p{L}{2,}+",
-    _OPEN + r"[0-9a-fA-F]{32,128}+" + _CLOSE,
-    _OPEN + r"(?=[A-Za-z0-9+/_-]{16})(?<=(?i:token|secret|passwd|password|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_-]{16,}+",
+    r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*\.\p{L}{2,}+",
+    r"[0-9a-fA-F]{32,128}+" + _CLOSE,
+    r"(?=[A-Za-z0-9+/_-]{16})(?<=(?i:token|secret|passwd|password|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_-]{16,}+",
 )
 _AFTER_IBAN = (
-    _OPEN + r"(?:\d{4}[-/.]\d{2}[-/.]\d{2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})" + _CLOSE,
-    r"(?<![\p{L}\p{N}]|\d\.)" + rf"{_OCTET}(?:\.{_OCTET}){{3}}" + r"(?![\p{L}\p{N}]|\.\d)",
-    _OPEN + r"\d{3}-\d{2}-\d{4}" + _CLOSE,
-    _OPEN + r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}" + _CLOSE,
-    _OPEN + r"\+(?!1[ .(-])\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,3}" + _CLOSE,
-    _OPEN + r"(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}" + _CLOSE,
-    _OPEN + r"(?:\d{12,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?)" + _CLOSE,
+    r"(?:\d{4}[-/.]\d{2}[-/.]\d{2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})" + _CLOSE,
+    r"(?<!\d\.)" + rf"{_OCTET}(?:\.{_OCTET}){{3}}" + r"(?![\p{L}\p{N}]|\.\d)",
+    r"\d{3}-\d{2}-\d{4}" + _CLOSE,
+    r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}" + _CLOSE,
+    r"\+(?!1[ .(-])\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,3}" + _CLOSE,
+    r"(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}" + _CLOSE,
+    r"\d{12,19}" + _CLOSE,
 )
-PATTERN = "|".join(f"(?:{p})" for p in _BEFORE_IBAN + _AFTER_IBAN)
-#: The same with a row's IBANs between these two.
-_HEAD = "|".join(f"(?:{p})" for p in _BEFORE_IBAN) + "|(?:(?=[A-Z]{2}[0-9]{2})" + _OPEN + "(?:"
-_TAIL = ")" + _CLOSE + ")|" + "|".join(f"(?:{p})" for p in _AFTER_IBAN)
+PATTERN = _OPEN + "(?:" + "|".join(_BEFORE_IBAN + _AFTER_IBAN) + ")"
+#: The same with a row's IBANs and spaced accounts between these two.
+_HEAD = _OPEN + "(?:" + "|".join(_BEFORE_IBAN) + "|(?=[A-Z0-9]{4})(?:"
+_TAIL = ")" + _CLOSE + "|" + "|".join(_AFTER_IBAN) + ")"
+
+#: Marks in a text: a lone first one is escaped, so the pair of the second line stands at matches only.
+_MARK, _ESCAPED, _EDGE = "\x01", "\x01\x02", "\x01\x03"
 
 _IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 #: The longest string of an IBAN's shape from each place where one may start; they may overlap.
-_MAYBE_IBAN = r"(?=[A-Z])" + _OPEN + rf"(?=({_IBAN}){_CLOSE})[A-Z]{{2}}"
+_MAYBE_IBAN = r"(?=[A-Z]{2}[0-9])" + _OPEN + rf"(?=({_IBAN}){_CLOSE})[A-Z]{{2}}"
+_ACCOUNT = r"\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?"
+_MAYBE_ACCOUNT = r"(?=\d{4}[ -]\d)" + _OPEN + rf"(?=({_ACCOUNT}){_CLOSE})\d{{4}}"
 #: The lengths of IBANs by country.
 _LENGTHS = (
     "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 "
@@ -138,19 +149,22 @@ def _iban_holds(m: str) -> str:
     return f"(length({squeezed}) BETWEEN 15 AND 34 AND {_iban_rest(f'concat(substr({squeezed}, 5), substr({squeezed}, 1, 4))')} = 1)"
 
 
-def _ibans(text: str) -> str:
-    """The distinct valid IBANs of a text: from each start that of its country's length, or else the longest."""
+def _checked(text: str) -> str:
+    """The distinct valid IBANs of a text (from each start that of its country's length, or else the longest) and its valid accounts in groups of digits (the longest)."""
     here = f"substr(w, n + 1, 1) IN ('', ' ') AND substr(w, 1, n) RLIKE {_text(f'^{_IBAN}$')} AND {_iban_holds('substr(w, 1, n)')}"
     known = f"contains('{_LENGTHS}', concat(substr(w, 1, 2), length(replace(substr(w, 1, n), ' ', ''))))"
     tried = f"transform(filter(sequence(15, greatest(15, length(w))), n -> {here}), n -> named_struct('known', {known}, 'n', n, 'm', substr(w, 1, n)))"
-    return f"array_distinct(filter(transform(regexp_extract_all({text}, {_text(_MAYBE_IBAN)}, 1), w -> array_max({tried}).m), p -> p IS NOT NULL))"
+    ibans = f"transform(regexp_extract_all({text}, {_text(_MAYBE_IBAN)}, 1), w -> array_max({tried}).m)"
+    holds = f"substr(w, n + 1, 1) IN ('', ' ', '-') AND substr(w, 1, n) RLIKE {_text(f'^{_ACCOUNT}$')} AND luhn_check({_only_digits('substr(w, 1, n)')})"
+    accounts = f"transform(regexp_extract_all({text}, {_text(_MAYBE_ACCOUNT)}, 1), w -> substr(w, 1, array_max(filter(sequence(14, length(w)), n -> {holds}))))"
+    return f"array_distinct(filter(concat({ibans}, {accounts}), p -> p IS NOT NULL))"
 
 
-def _by_pattern(ibans: str, use: str) -> str:
-    """SQL with `{}` for the pattern of a row with these IBANs; the pattern of most rows, without any, is a literal."""
-    longest_first = f"transform(array_sort(transform({ibans}, p -> named_struct('n', -length(p), 'm', p))), p -> p.m)"
+def _by_pattern(checked: str, use: str) -> str:
+    """SQL with `{}` for the pattern of a row with these IBANs and accounts; the pattern of most rows, without any, is a literal."""
+    longest_first = f"transform(array_sort(transform({checked}, p -> named_struct('n', -length(p), 'm', p))), p -> p.m)"
     own = f"concat({_text(_HEAD)}, array_join({longest_first}, '|'), {_text(_TAIL)})"
-    return f"IF(size({ibans}) <= 0, {use.replace('{}', _text(PATTERN))}, {use.replace('{}', own)})"
+    return f"IF(size({checked}) <= 0, {use.replace('{}', _text(PATTERN))}, {use.replace('{}', own)})"
 
 
 def _date(m: str) -> str:
@@ -161,6 +175,18 @@ def _date(m: str) -> str:
     return f"IF({m} RLIKE '^[0-9]{{4}}', {made(1, 2, 3)}, coalesce({made(3, 2, 1)}, {made(3, 1, 2)}))"
 
 
+def _other_day(day: str, keyed: _Keyed) -> str:
+    """A permutation of the days from 1800 to 2199 that keeps days 1 to 12 of months, and the later ones, among themselves."""
+    first = "DATE'1800-01-01'"
+    early = _let("f", keyed.feistel("'date'", f"year({day}) - 1800", f"month({day}) * 12 + day({day}) - 13", "400L", "144L"), "make_date(CAST(f.l AS INT) + 1800, CAST(f.r DIV 12 AS INT) + 1, CAST(f.r % 12 AS INT) + 1)")
+    before = lambda month: f"datediff(add_months({first}, {month}), {first}) - 12 * {month}"  # noqa: E731  the later days of all months before
+    number = f"datediff({day}, {first}) - 12 * (year({day}) * 12 + month({day}) - 21600)"
+    month = _let("e", "CAST(q * 4800 DIV 88497 AS INT)", f"array_max(filter(sequence(greatest(e - 1, 0), least(e + 1, 4799)), k -> {before('k')} <= q))")
+    mixed = _let("n", f"CAST({number} AS BIGINT)", _let("f", keyed.feistel("'late date'", "n DIV 9833", "n % 9833", "9L", "9833L"), "f.l * 9833 + f.r"))
+    late = _let("q", mixed, _let("k", month, f"date_add(add_months({first}, k), CAST(q AS INT) - ({before('k')}) + 12)"))
+    return f"IF(day({day}) <= 12, {early}, {late})"
+
+
 def _kind(m: str) -> str:
     d = _only_digits(m)
     return f"""CASE
@@ -172,15 +198,14 @@ def _kind(m: str) -> str:
       WHEN {m} RLIKE '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN IF({m} RLIKE '^(000|666|9)' OR {m} RLIKE '-00-' OR {m} RLIKE '-0000$', NULL, 'ssn')
       WHEN {m} RLIKE '^[+(]' AND length({d}) BETWEEN 7 AND 15 THEN 'phone'
       WHEN {m} RLIKE '^[0-9]{{3}}[ .-][0-9]{{3}}[ .-][0-9]{{4}}$' THEN 'phone'
-      WHEN {m} RLIKE '^[0-9 -]+$' AND length({d}) BETWEEN 12 AND 19 THEN 'account'
+      WHEN {m} RLIKE '^[0-9 -]+$' AND length({d}) BETWEEN 12 AND 19 THEN IF(luhn_check({d}), 'account', NULL)
       WHEN NOT {m} RLIKE ' ' AND length({m}) >= 16 THEN 'secret'
     END"""
 
 
 def _replacement(kind: str, m: str, keyed: _Keyed) -> str:
     """SQL for the pseudonym of match m of a kind."""
-    account = _let("body", "substr(d, 1, length(d) - 1)", _let("moved", keyed.digits("account", "body"),
-        f"concat(moved, CAST(({_luhn('moved')} + CAST(right(d, 1) AS INT) - {_luhn('body')} + 10) % 10 AS STRING))"))
+    account = _let("moved", keyed.digits("account", "substr(d, 1, length(d) - 1)"), f"concat(moved, CAST({_luhn('moved')} AS STRING))")
     fixed = f"IF({m} RLIKE '^[+]1[^0-9]' OR ({m} RLIKE '^[+]1' AND length(d) = 11), 1, IF({m} RLIKE '^[+]', coalesce(nullif(length(regexp_extract({m}, '^[+]([0-9]{{1,3}})[ .(-]', 1)), 0), 2), 0))"
     phone = _let("cc", fixed, f"concat(substr(d, 1, cc), {_let('own', 'substr(d, cc + 1)', keyed.digits('phone', 'own'))})")
     area = "CAST(substr(d, 1, 3) AS BIGINT)"
@@ -188,13 +213,13 @@ def _replacement(kind: str, m: str, keyed: _Keyed) -> str:
         "concat(lpad(CAST(f.l + IF(f.l >= 665, 2, 1) AS STRING), 3, '0'), lpad(CAST(f.r DIV 9999 + 1 AS STRING), 2, '0'), lpad(CAST(f.r % 9999 + 1 AS STRING), 4, '0'))")
     ip = _let("o", f"transform(split({m}, '[.]'), x -> CAST(x AS BIGINT))",
         _let("f", keyed.feistel("'ip'", "o[0] * 256 + o[1]", "o[2] * 256 + o[3]", "65536L", "65536L"), "concat_ws('.', f.l DIV 256, f.l % 256, f.r DIV 256, f.r % 256)"))
-    day = _let("n", f"CAST(datediff({_date(m)}, DATE'1800-01-01') AS BIGINT)", _let("f", keyed.feistel("'date'", "n DIV 773", "n % 773", "189L", "773L"), "date_add(DATE'1800-01-01', CAST(f.l * 773 + f.r AS INT))"))
-    month_first = f"coalesce(NOT ({m} RLIKE '^[0-9]{{4}}') AND CAST(element_at(split({m}, '[-/.]'), 2) AS INT) > 12, false)"
+    second = f"regexp_extract({m}, '[-/.][0-9]+([-/.])', 1)"
     sep = f"regexp_extract({m}, '[-/.]', 0)"
+    month_first = f"NOT ({m} RLIKE '^[0-9]{{4}}') AND CAST(element_at(split({m}, '[-/.]'), 2) AS INT) > 12"
     short = f"{m} RLIKE '^[0-9][-/.]|[-/.][0-9][-/.]'"
     two = lambda x: f"IF({short}, CAST({x} AS STRING), lpad(CAST({x} AS STRING), 2, '0'))"
-    date = _let("p", day, f"IF({m} RLIKE '^[0-9]{{4}}', concat_ws({sep}, CAST(year(p) AS STRING), lpad(CAST(month(p) AS STRING), 2, '0'), lpad(CAST(day(p) AS STRING), 2, '0')), "
-        f"IF({month_first}, concat_ws({sep}, {two('month(p)')}, {two('day(p)')}, CAST(year(p) AS STRING)), concat_ws({sep}, {two('day(p)')}, {two('month(p)')}, CAST(year(p) AS STRING))))")
+    date = _let("p", _let("v", _date(m), _other_day("v", keyed)), f"CASE WHEN {m} RLIKE '^[0-9]{{4}}' THEN concat(CAST(year(p) AS STRING), {sep}, lpad(CAST(month(p) AS STRING), 2, '0'), {second}, lpad(CAST(day(p) AS STRING), 2, '0')) "
+        f"WHEN {month_first} THEN concat({two('month(p)')}, {sep}, {two('day(p)')}, {second}, CAST(year(p) AS STRING)) ELSE concat({two('day(p)')}, {sep}, {two('month(p)')}, {second}, CAST(year(p) AS STRING)) END")
     iban = _let("z", f"concat(substr({m}, 1, 2), '00', {_refill(f'substr({m}, 5)', 'e')})", _let("q", "replace(z, ' ', '')",
         f"concat(substr({m}, 1, 2), lpad(CAST(98 - {_iban_rest('concat(substr(q, 5), substr(q, 1, 4))')} AS STRING), 2, '0'), substr(z, 5))"))
     halves = _let("h", "IF(length(g) > 18, substr(g, 1, 18), g)", f"concat({keyed.digits('iban', 'h')}, {_let('k', 'substr(g, 19)', keyed.digits('iban-rest', 'k'))})")
@@ -214,26 +239,27 @@ def _replacement(kind: str, m: str, keyed: _Keyed) -> str:
 
 
 def find(text: str = "text") -> Column:
-    """The validated kind and the string of each match of a text column."""
-    matches = _let("b", _ibans(text), _by_pattern("b", f"regexp_extract_all({text}, {{}}, 0)"))
-    return F.expr(f"transform({matches}, m -> named_struct('kind', {_kind('m')}, 'm', m))")
+    """The text cut at its matches: structs (kind, m), every second one a match, with its kind if it is valid."""
+    safe = f"replace({text}, '{_MARK}', '{_ESCAPED}')"
+    marked = _let("b", _checked(text), _by_pattern("b", f"regexp_replace({safe}, {{}}, '{_EDGE}$0{_EDGE}')"))
+    return F.expr(f"transform(split({marked}, '{_EDGE}', -1), (m, i) -> named_struct('kind', IF(i % 2 = 1, {_kind('m')}, NULL), 'm', m))")
 
 
 def replace(found: str, text: str, key: str) -> Column:
     """The text with each found match replaced by its pseudonym."""
     keyed = _Keyed(key)
     cases = " ".join(f"WHEN '{k}' THEN {_replacement(k, 'v.m', keyed)}" for k in KINDS)
-    fresh = f"transform({found}, v -> CASE v.kind {cases} ELSE v.m END)"
-    ibans = f"array_distinct(transform(filter({found}, v -> v.kind = 'iban'), v -> v.m))"
-    pieces = _let("b", ibans, _by_pattern("b", f"split({text}, {{}}, -1)"))
-    joined = f"array_join(zip_with({pieces}, {fresh}, (a, b) -> concat(a, coalesce(b, ''))), '')"
-    return F.expr(f"IF({text} IS NULL OR size({found}) <= 0, {text}, {joined})")
+    fresh = f"transform({found}, v -> CASE WHEN v.kind IS NULL THEN v.m ELSE CASE v.kind {cases} END END)"
+    return F.expr(f"IF({text} IS NULL OR size({found}) <= 1, {text}, replace(array_join({fresh}, ''), '{_ESCAPED}', '{_MARK}'))")
 
 
 def pseudonymize(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """docs with personal data in a text column replaced, all columns kept."""
-    rows = docs.withColumn("__pii", find(f"`{column}`"))
-    return rows.withColumn(column, replace("__pii", f"`{column}`", key)).drop("__pii")
+    found = "__pii"
+    while found in map(str.lower, docs.columns):
+        found += "_"
+    rows = docs.withColumn(found, find(f"`{column}`"))
+    return rows.withColumn(column, replace(found, f"`{column}`", key)).drop(found)
 
 
 def report(docs: DataFrame, key: str) -> DataFrame:

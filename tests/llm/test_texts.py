@@ -65,7 +65,7 @@ def test_pseudonyms(spark):
         "2023-02-30 666-12-1234 256.1.1.1 v1.2 1.2.3.4.5 DE00 3704 0044 0532 0130 00x 12345 abc", None, "",
     )
     a, b, c = re.split(" and | or ", cards)
-    assert a.replace(" ", "") == b != "4111111111111111" and luhn(a) == luhn("4111111111111111") and luhn(c) == luhn("4111111111111112") and c[:-1] == re.sub(r"(\d{4})(?=\d)", r"\1-", b)[:-1]
+    assert a.replace(" ", "") == b != "4111111111111111" and luhn(a) == 0 and c == "4111-1111-1111-1112"
     iso, dmy, mdy, short, same = dates.split()
     y, m, d = iso.split("-")
     assert same in (f"{int(d)}.{int(m)}.{y}", f"{d}.{m}.{y}") and re.fullmatch(r"\d\d/\d\d/\d{4}", dmy) and re.fullmatch(r"\d\d\.\d\d\.\d{4}", mdy) and short != "3/4/2020"
