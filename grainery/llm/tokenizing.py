@@ -33,24 +33,29 @@ def load(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
 
 
 def cuts_at_spaces(tokenizer) -> bool:
-    """Whether a tokenizer's own description allows the cut rule above."""
+    """Whether a tokenizer's own description allows the cut rule above and the splicing of byte pair encodings."""
     import json
 
     spec = json.loads(tokenizer.to_str())
     pre = spec.get("pre_tokenizer") or {}
-    added = spec.get("added_tokens") or []
+    added, model = spec.get("added_tokens") or [], spec["model"]
     return (
-        spec.get("normalizer") is None
+        model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and not model.get("byte_fallback")
+        and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+        and spec.get("normalizer") is None
         and spec.get("post_processor") is None
         and pre.get("type") == "ByteLevel"
         and pre.get("use_regex") is True
         and pre.get("add_prefix_space") is False
         and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
-    )
+    )
 
 
 def token_bytes(tokenizer) -> np.ndarray:
