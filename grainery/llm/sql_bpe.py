@@ -3,11 +3,11 @@
 A text is cut into words by the ranks' pattern. The distinct words of a slice
 become rows (word, position, token), bytes at first. A recursive query joins
 neighbouring positions with the merge table and contracts each word's leftmost
-pair of least rank, until no pair is left. Where a merge's product takes part
-only in later merges, every occurrence of the least pair that is first in its
-run is contracted in the same step, which gives the same result in fewer steps
-for long words. An ordered aggregation over (text, position, token) rows joined
-with the vocabulary decodes the ids again.
+pair of least rank, until no pair is left. A word longer than a chunk goes through the
+same query in overlapping chunks, which are spliced where both hold a boundary and
+the same token after it (see `splicing` for the proof), so that the rounds of the
+recursion are bounded by a chunk's length. An ordered aggregation over (text, position,
+token) rows joined with the vocabulary decodes the ids again.
 
 Defined results: a null or empty text has no ids and decodes to no bytes;
 repeated rows are encoded alike; an empty table gives an empty result.
@@ -25,44 +25,24 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from grainery.llm import common
+from grainery.llm import common, splicing
 
-#: Words whose ids a Python worker remembers, words in one recursive query, and bytes of a word that is short.
-MEMORY_WORDS, QUERY_WORDS, SHORT = 400_000, 20_000, 256
-
-#: Places are below this in the key (rank, place) whose least value is sought.
-PLACES = 1 << 40
+#: Words whose ids a Python worker remembers, bytes of the words in one recursive query, and of a chunk and its overlap in a longer word.
+MEMORY_WORDS, QUERY_BYTES, CHUNK, OVERLAP = 400_000, 1 << 18, 64, 32
 
 _MERGE = """
-WITH RECURSIVE step AS (
-  SELECT word, list(token ORDER BY place) AS tokens, 0 AS round FROM rows GROUP BY word
-  UNION ALL
-  (WITH pairs AS (SELECT word, tokens, round, unnest(range(1, len(tokens))) AS place FROM step),
+WITH RECURSIVE step USING KEY (word) AS (
+  SELECT word, list(token ORDER BY place) AS tokens FROM rows GROUP BY word
+  UNION
+  (WITH pairs AS (SELECT word, tokens, unnest(range(1, len(tokens))) AS place FROM step),
    best AS (
-     SELECT word, any_value(tokens) AS tokens, any_value(round) AS round, min(m.rank::BIGINT * 1048576 + place) AS least
+     SELECT word, any_value(tokens) AS tokens, min(m.rank::BIGINT * 1048576 + place) AS least
      FROM pairs JOIN merges m ON m.pair = tokens[place]::BIGINT * 65536 + tokens[place + 1]
      GROUP BY word)
-   SELECT word,
-     list_concat(list_concat(tokens[1:(least % 1048576) - 1], [(least // 1048576)::INT]), tokens[(least % 1048576) + 2:]),
-     round + 1
+   SELECT word, list_concat(list_concat(tokens[1:(least % 1048576) - 1], [(least // 1048576)::INT]), tokens[(least % 1048576) + 2:])
    FROM best)
 )
-SELECT word, arg_max(tokens, round) AS tokens FROM step GROUP BY word
-"""
-
-#: The same for a single long word, by rows and without copies of lists: one round's rows are the next one's input.
-_ROUND = """
-WITH pairs AS (
-  SELECT a.place, m.rank, m.alone, a.place - 1 AS before
-  FROM cur a JOIN cur b ON b.place = a.place + 1 JOIN merges m ON m.pair = a.token::BIGINT * 65536 + b.token),
-least AS (SELECT min(rank) AS rank, arg_min(alone, rank) AS alone FROM pairs),
-hit AS (
-  SELECT p.place, p.rank FROM pairs p JOIN least USING (rank)
-  WHERE NOT EXISTS (SELECT 1 FROM pairs q WHERE q.rank = least.rank AND q.place = p.before)),
-used AS (SELECT place, rank FROM hit WHERE (SELECT alone FROM least) OR place = (SELECT min(place) FROM hit))
-SELECT (row_number() OVER (ORDER BY c.place))::BIGINT AS place, coalesce(u.rank, c.token)::INT AS token
-FROM cur c LEFT JOIN used u ON u.place = c.place
-WHERE c.place NOT IN (SELECT place + 1 FROM used)
+SELECT word, tokens FROM step
 """
 
 
@@ -88,12 +68,12 @@ class Coder:
                 if a is not None and b is not None:
                     left.append(a), right.append(b), rank.append(r)
         a, b, r = (np.array(x, np.int64) for x in (left, right, rank))
-        later = np.full(max(self.ranks.values()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(later, a, r)
-        np.minimum.at(later, b, r)
+        self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        for token, i in self.ranks.items():
+            self.sizes[i] = len(token)
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        self._load("merges", pa.table({"pair": a * 65536 + b, "rank": r.astype(np.int32), "alone": later[r] > r}))
+        self._load("merges", pa.table({"pair": a * 65536 + b, "rank": r.astype(np.int32)}))
         self._load("vocabulary", pa.table({"token": pa.array(list(self.ranks.values()), pa.int32()), "bytes": pa.array(list(self.ranks), pa.binary())}))
         self.clear()
 
@@ -113,16 +93,17 @@ class Coder:
     def clear(self) -> None:
         self.known: dict[str, np.ndarray] = {}
 
-    def _long(self, word: bytes) -> np.ndarray:
-        cur = pa.table({"place": np.arange(len(word), dtype=np.int64), "token": self.bytes[np.frombuffer(word, np.uint8)]})
-        while True:
-            out = self._rows(_ROUND, cur=cur)
-            if out.num_rows == cur.num_rows:
-                return cur.sort_by("place").column("token").to_numpy().astype(np.uint32)
-            cur = out
-
     def _merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of words that are no tokens themselves."""
+        """The ids of words or chunks, some at a time."""
+        found: list = []
+        sizes = np.cumsum([0, *map(len, words)])
+        while len(found) < len(words):
+            lo = len(found)
+            hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + QUERY_BYTES, "right")) - 1)
+            found += self._contracted(words[lo:hi])
+        return found
+
+    def _contracted(self, words: list[bytes]) -> list[np.ndarray]:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         data = np.frombuffer(b"".join(words), np.uint8)
         begin = np.cumsum(lengths) - lengths
@@ -135,21 +116,29 @@ class Coder:
             found[w] = flat[cut[k] : cut[k + 1]]
         return found
 
-    def learn(self, words: list[str]) -> None:
-        """Find and remember the ids of words."""
-        short: list[tuple[str, bytes]] = []
+    def _long(self, word: bytes) -> np.ndarray:
+        """The ids of a word of any length, from overlapping chunks."""
+
+        def encode(places: list[tuple[int, int]]) -> list[splicing.Piece]:
+            found = self._merge([word[lo:hi] for lo, hi in places])
+            ends = [lo + np.cumsum(self.sizes[ids]) for (lo, _), ids in zip(places, found, strict=True)]
+            return [splicing.Piece(lo, hi, ids, e - self.sizes[ids], e) for (lo, hi), ids, e in zip(places, found, ends, strict=True)]
+
+        return np.concatenate(list(splicing.joined(len(word), CHUNK, OVERLAP, 0, encode, several=QUERY_BYTES // CHUNK)))
+
+    def learn(self, words: list[str]) -> dict[str, np.ndarray]:
+        """Find the ids of words; those of the words longer than a chunk are returned and not remembered."""
+        short, long = {}, {}
         for word in words:
             raw = word.encode()
             if (whole := self.ranks.get(raw)) is not None:
                 self.known[word] = np.array([whole], np.uint32)
-            elif len(raw) > SHORT:
-                self.known[word] = self._long(raw)
+            elif len(raw) > CHUNK + OVERLAP:
+                long[word] = self._long(raw)
             else:
-                short.append((word, raw))
-        for i in range(0, len(short), QUERY_WORDS):
-            some = short[i : i + QUERY_WORDS]
-            for (word, _), ids in zip(some, self._merge([raw for _, raw in some]), strict=True):
-                self.known[word] = ids
+                short[word] = raw
+        self.known.update(zip(short, self._merge(list(short.values())), strict=True))
+        return long
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and each text's place among them (rows + 1)."""
@@ -159,10 +148,10 @@ class Coder:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         coded = pa.array([w for f in found for w in f], pa.string()).dictionary_encode()
         kinds = common.strings(coded.dictionary)
-        self.learn([w for w in kinds if w not in self.known])
+        long = self.learn([w for w in kinds if w not in self.known])
         if not kinds:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        each = [self.known[w] for w in kinds]
+        each = [self.known[w] if w in self.known else long[w] for w in kinds]
         lengths = np.fromiter(map(len, each), np.int64, len(each))
         store, start = np.concatenate(each), np.cumsum(lengths) - lengths
         codes = coded.indices.to_numpy()
