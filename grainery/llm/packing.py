@@ -103,12 +103,44 @@ class Schedule:
             short[rows] += 1
         return count.astype(np.int64)
 
+    def spare(self) -> int:
+        """By how many windows the estimate of a token's window may be wrong, at most."""
+        return 2 + len(self.rates) // self.window
+
+    def about(self, queue: int, tokens: np.ndarray) -> np.ndarray:
+        """An estimate of the windows of tokens of a queue."""
+        return (np.interp((tokens + 0.5) / self.rates[queue], self.breaks, self.at_breaks) / self.window).astype(np.int64)
+
     def windows_of(self, queue: int, lo: int, hi: int) -> tuple[int, int]:
         """Windows that surely enclose tokens lo to hi of a queue."""
-        due = (np.array([max(lo - 1, 0), hi + 1]) + 0.5) / self.rates[queue]
-        a, b = np.interp(due, self.breaks, self.at_breaks) / self.window
-        spare = 2 + len(self.rates) // self.window
-        return max(0, int(a) - spare), min(-(-self.total // self.window), int(b) + spare + 1)
+        a, b = self.about(queue, np.array([max(lo - 1, 0), hi + 1]))
+        return max(0, int(a) - self.spare()), min(-(-self.total // self.window), int(b) + self.spare() + 1)
+
+    def near(self, queue: int, tokens: np.ndarray) -> np.ndarray:
+        """The limits (numbers of windows) on both sides of the windows of some tokens, and a few around them."""
+        around = self.about(queue, tokens)[:, None] + np.arange(-self.spare(), self.spare() + 2)
+        return np.unique(np.clip(around, 0, -(-self.total // self.window)))
+
+
+#: A queue with fewer tokens than one in so many windows is cut at the windows of its tokens alone, so many tokens at a time.
+SPARSE, TOKENS = 8, 4096
+
+
+def _between(limits: np.ndarray, served: np.ndarray, q: int, rows: np.ndarray, begin: np.ndarray, n: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, ...]:
+    """Pieces of tokens lo to hi of a queue in the windows between the given limits, which may leave out windows without them."""
+    limit = served[:, q]
+    before = np.diff(served[:, :q].sum(axis=1))
+    rows = rows[(begin[rows] < min(hi, limit[-1])) & (begin[rows] + n[rows] > max(lo, limit[0]))]
+    a = np.maximum(begin[rows], max(lo, limit[0]))
+    b = np.minimum(begin[rows] + n[rows], min(hi, limit[-1]))
+    i, j = np.searchsorted(limit, a, "right") - 1, np.searchsorted(limit, b, "left")
+    pieces = np.where(b > a, j - i, 0)
+    row = np.repeat(np.arange(len(rows)), pieces)
+    k = np.arange(len(row)) + np.repeat(i - (np.cumsum(pieces) - pieces), pieces)
+    start, stop = np.maximum(a[row], limit[k]), np.minimum(b[row], limit[k + 1])
+    full = stop > start
+    row, k, start, stop = rows[row[full]], k[full], start[full], stop[full]
+    return row, start - begin[row], stop - start, limits[k], before[k] + start - limit[k]
 
 
 def cut(schedule: Schedule, queue: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -116,8 +148,17 @@ def cut(schedule: Schedule, queue: np.ndarray, begin: np.ndarray, n: np.ndarray)
     out, spans = [], []
     for q in np.unique(queue).tolist():
         mine = np.flatnonzero(queue == q)
-        first, last = schedule.windows_of(q, int(begin[mine].min()), int((begin[mine] + n[mine]).max()))
-        spans.append((first, last, q, mine))
+        lo, hi = int(begin[mine].min()), int((begin[mine] + n[mine]).max())
+        first, last = schedule.windows_of(q, lo, hi)
+        if last - first <= SPARSE * (hi - lo) + schedule.block:
+            spans.append((first, last, q, mine))
+            continue
+        for a in range(lo, hi, TOKENS):  # few tokens in many windows
+            b = min(hi, a + TOKENS)
+            limits = schedule.near(q, np.arange(a, b))
+            for some in range(0, len(limits) - 1, schedule.block):
+                part = limits[some : some + schedule.block + 1]
+                out.append(_between(part, schedule.served(part), q, mine, begin, n, a, b))
     spans.sort(key=lambda x: x[:2])
     at, done, open_ = 0, 0, []
     while at < len(spans) or open_:  # the limits of some windows are computed once for all queues
@@ -128,21 +169,9 @@ def cut(schedule: Schedule, queue: np.ndarray, begin: np.ndarray, n: np.ndarray)
             open_.append(spans[at])
             at += 1
         lo, hi = done, min(hi, max(x[1] for x in open_))
-        served = schedule.served(np.arange(lo, hi + 1))
-        before = np.diff(np.cumsum(served, axis=1) - served, axis=0)
-        for _, _, q, mine in open_:
-            limit, ahead = served[:, q], before[:, q]
-            rows = mine[(begin[mine] < limit[-1]) & (begin[mine] + n[mine] > limit[0])]
-            a = np.maximum(begin[rows], limit[0])
-            b = np.minimum(begin[rows] + n[rows], limit[-1])
-            i, j = np.searchsorted(limit, a, "right") - 1, np.searchsorted(limit, b, "left")
-            pieces = j - i
-            row = np.repeat(rows, pieces)
-            k = np.arange(len(row)) + np.repeat(i - (np.cumsum(pieces) - pieces), pieces)
-            start, stop = np.maximum(begin[row], limit[k]), np.minimum(begin[row] + n[row], limit[k + 1])
-            full = stop > start
-            row, k, start, stop = row[full], k[full], start[full], stop[full]
-            out.append((row, start - begin[row], stop - start, lo + k, ahead[k] + start - limit[k]))
+        limits = np.arange(lo, hi + 1)
+        served = schedule.served(limits)
+        out += [_between(limits, served, q, mine, begin, n, 0, schedule.total) for _, _, q, mine in open_]
         done, open_ = hi, [x for x in open_ if x[1] > hi]
     joined = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
     order = np.lexsort((joined[1], joined[0]))

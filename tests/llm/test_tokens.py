@@ -60,6 +60,25 @@ def test_splices(library, chunk, overlap):
     assert token_counts.count_long(text, library, chunk, overlap) == len(ids_of(library, text))
 
 
+@pytest.mark.parametrize("kind", ["lines", "ideographs", "a", "ba", "digits", "apostrophes", "spaces", "blank lines", "special"])
+def test_long_texts_without_spaces(library, kind):
+    """Equal to the library's count, in time that grows as the text does."""
+    import time
+
+    r = random.Random(7)
+    make = {
+        "lines": lambda n: "\n".join("".join(r.choice("abcdethn") for _ in range(5)) for _ in range(n // 6)), "ideographs": lambda n: "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(n)),
+        "a": lambda n: "a" * n, "ba": lambda n: "b" + "a" * n, "digits": lambda n: "".join(r.choice("0123456789") for _ in range(n)), "apostrophes": lambda n: "'s" * (n // 2),
+        "spaces": lambda n: " " * n, "blank lines": lambda n: "\n " * (n // 2), "special": lambda n: "".join(r.choice(["a", "'ll", "1", "é", "!", "<|endoftext|>", "日"]) for _ in range(n // 3)),
+    }
+    text = make[kind](400_000)
+    begun = time.process_time()
+    want = len(ids_of(library, text))
+    whole, begun = time.process_time() - begun, time.process_time()
+    assert token_counts.count_long(text, library) == want
+    assert time.process_time() - begun < 15 * whole + 1
+
+
 def test_counts_query(spark, sf_dir, library):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = {i: len(ids_of(library, t)) for i, t in texts(docs)}
@@ -85,7 +104,7 @@ def test_sql_bpe(spark, sf_dir, odd, none, ranked):
 
 def test_long_words(ranked):
     coder, r = sql_bpe.Coder(RANKS, P.PATTERN, entries=3), random.Random(4)
-    cases = ["a" * 700, "".join(r.choice("abcdethn") for _ in range(900)), "日本語" * 100, "ab" * 300, "x\x1c\x1d \x85  y  　", "'S 's"]
+    cases = ["a" * 700, "x" + "a" * 3000, "ha" * 1500 + "!" * 2000, "".join(r.choice("abcdethn") for _ in range(900)), "日本語" * 100, "ab" * 300, "x\x1c\x1d \x85  y  　", "'S 's"]
     for case in cases * 2:
         ids, at = coder.encode([case])
         assert ids.tolist() == ranked.encode_ordinary(case) and coder.decode(ids, at) == [case.encode()]
@@ -195,3 +214,52 @@ def test_file_format(spark, sf_dir, tmp_path):
 
 def test_ranks_file():
     assert sql_bpe.read_ranks(RANKS)[base64.b64decode("IQ==")] == sql_bpe.read_ranks(RANKS)[b"!"]
+
+
+def brute_cut(totals, rates, window):
+    """Each token's window and offset: tokens in order of their due times, ties to the earlier queue, queue by queue inside a window."""
+    order = sorted(((j + 0.5) / r, q, j) for q, (t, r) in enumerate(zip(totals, rates, strict=True)) for j in range(t))
+    found = {}
+    for w in range(0, len(order), window):
+        for offset, (_, q, j) in enumerate(sorted(order[w : w + window], key=lambda x: x[1:])):
+            found[q, j] = (w // window, offset)
+    return found
+
+
+def test_cut_against_every_token(monkeypatch):
+    r = np.random.default_rng(8)
+    for sparse in (8, 0):
+        monkeypatch.setattr(packing, "SPARSE", sparse)
+        monkeypatch.setattr(packing, "BLOCK", 2048 if sparse else 1)
+        monkeypatch.setattr(packing, "TOKENS", 4096 if sparse else 7)
+        for _ in range(12):
+            totals = r.integers(1, 900, r.integers(1, 9))
+            rates = totals * r.choice([1.0, 0.3, 2.0], len(totals))
+            schedule, want = packing.Schedule(totals, rates, 16), brute_cut(totals.tolist(), rates.tolist(), 16)
+            queue, begin, n = [], [], []
+            for q, t in enumerate(totals.tolist()):
+                cuts = sorted({0, t, *r.integers(0, t + 1, 5).tolist()})
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    queue.append(q), begin.append(a), n.append(b - a)
+            queue, begin, n = map(np.array, (queue, begin, n))
+            got = {}
+            for row, start, length, w, offset in zip(*(x.tolist() for x in packing.cut(schedule, queue, begin, n)), strict=True):
+                for k in range(length):
+                    got[int(queue[row]), int(begin[row]) + start + k] = (w, offset + k)
+            assert got == want
+
+
+@pytest.mark.parametrize("totals", [(4 * 10**9, 1000), (10**10, 1000), (10**13, 50_000, 3)])
+def test_rare_sources(totals):
+    import time
+
+    begun = time.monotonic()
+    schedule = packing.Schedule(np.array(totals), np.array(totals, float), 1024)
+    for q in range(1, len(totals)):
+        row, start, length, window, offset = packing.cut(schedule, np.array([q, q]), np.array([0, totals[q] // 3]), np.array([totals[q] // 3, totals[q] - totals[q] // 3]))
+        assert length.sum() == totals[q] and (length > 0).all() and (offset + length <= 1024).all() and len(np.unique(window)) == totals[q]
+        even = (np.arange(totals[q]) + 0.5) * sum(totals) / totals[q] / 1024
+        assert (abs(np.sort(window) - even) < 3).all()
+    row, start, length, window, offset = packing.cut(schedule, np.array([0]), np.array([totals[0] // 2]), np.array([10**6]))
+    assert length.sum() == 10**6 and len(window) in range(976, 980)
+    assert time.monotonic() - begun < 30
