@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import functools
 import inspect
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +13,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from grainery.sources.shared import discard, materialize, new_path, shared_folder
+
+__all__ = ["discard", "materialize", "new_path", "shared_folder"]
+
 #: Bytes of text that Python code works on at once; one longer text is taken alone.
 SLICE_BYTES = 4 << 20
 
@@ -31,22 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only where the setting is absent (a local session, as in tests) a
-    temporary folder stands in for it and is removed at exit.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="grainery-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Send texts to Python some megabytes at a time: Spark's default of 10,000 rows a batch grows with their length.
 
@@ -56,17 +40,6 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
 
 
-def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs a re-read, not a recompute.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/grainery/{uuid.uuid4().hex}/{label}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (rows + 1) of a string array; null counts as empty."""
     if isinstance(arr, pa.ChunkedArray):

@@ -13,12 +13,14 @@ Two classes link when 100 * |intersection| >= 80 * |union|. The steps lose no li
    must still hold a common one are its signatures.
 3. Groups. Documents joined by signatures, directly or over others, form
    candidate groups: every link lies inside one.
-4. Search. Each group is searched with DivideSkip: a document's inverted lists
-   are divided into short ones, which are merged and counted, and long ones, which are
-   probed by binary search for the documents that the short lists leave possible.
-   Pairs already connected by earlier links are not searched again, so a
-   large group of near copies takes time in proportion to its size. The k-way merge of
-   short lists is done on arrays (counting document numbers) instead of a pointer heap.
+4. Search. Each group is searched with DivideSkip, which finds every link that there is: a
+   document's inverted lists are divided into short ones, which are merged, and long ones,
+   which are probed by binary search for the documents that the short lists leave possible.
+   Some documents are searched first; a document that their links have put into the group's
+   main part by then need not be, as any other link of it is found from its other end. So a
+   large group of near copies takes a few searches. The merge of the short lists counts on
+   arrays (sorted runs of document numbers, or a counter for each where they are many)
+   instead of a pointer heap with skips; counts and links are the same.
 5. A group larger than a block is dealt over several tasks, each of which also gets
    the group's pivots; documents still apart from the group's main part are
    then searched against every block.
@@ -27,13 +29,15 @@ Hash collisions: two different classes of N merge with probability about N^2 / 2
 
 Defined results: null, empty and blank texts have n_shingles 0 and are their own
 components; repeated rows are one class; an empty table gives an empty result;
-other columns are ignored; a null doc_id never names a component unless it is alone.
+other columns are ignored; rows with a null or a repeated doc_id link as others do, and
+a null doc_id names a component only if no document of it has another.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +51,11 @@ from grainery.llm.components import components
 
 WORDS, PERCENT = 5, 80
 #: The share of a set's size that linking samples have in common; index entries of a task; shingles in a block; pivots of a large group.
-SHARE, INDEX_ENTRIES, BLOCK, PIVOTS = 0.15, 1 << 20, 1 << 21, 16
+SHARE, INDEX_ENTRIES, BLOCK, PIVOTS = 0.15, 1 << 20, 1 << 20, 16
 #: Bytes of text hashed at once.
 HASHED_BYTES = 1 << 20
-#: DivideSkip's weight of a merge step against a probe.
-MU = 0.01
+#: DivideSkip's weight of a merge step against a probe; long lists probed at once; documents of a group that are searched first.
+MU, PROBED, SEEDS = 0.01, 32, 4
 
 _BASE, _WORD, _CLASS = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F | 1
 _TABLE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -270,13 +274,6 @@ def _signed(samples: pa.Table, found: pa.Table) -> pa.Table:
     return pa.concat_tables([out, pa.table({"hash": pa.nulls(len(inside), pa.int64()), "a": pa.array(name[inside]), "b": pa.array(name[root[inside]])}, _SIGNED)])
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
-
-
 class Lists:
     """Inverted lists over sets: for each hash, the sets that hold it, in order."""
 
@@ -285,112 +282,110 @@ class Lists:
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(flat, kind="stable")
-        self.owner = owner[order]
-        self.keys, self.begin = np.unique(flat[order], return_index=True)
-        self.end = np.append(self.begin[1:], len(flat))
-
-    def search(self, query: np.ndarray, allowed: np.ndarray) -> np.ndarray:
-        """The allowed sets that link to a query set, by DivideSkip."""
-        if not len(self.keys):
-            return np.zeros(0, np.int64)
+        self.owner, flat = owner[order], flat[order]
+        first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
+        self.keys, self.begin, self.length = flat[first], first, np.diff(np.append(first, len(flat)))
+        #: (list, set) as one number, in order: one binary search probes many lists for many sets.
+        self.entries = np.repeat(np.arange(len(first)), self.length) * len(sets) + self.owner
+
+    def search(self, query: np.ndarray, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+        """The sets that link to a query set, by DivideSkip; `wanted` says which of some sets are of interest."""
+        none = np.zeros(0, np.int64)
+        if not len(self.keys) or not len(query):
+            return none
         place = np.minimum(np.searchsorted(self.keys, query), len(self.keys) - 1)
         place = place[self.keys[place] == query]
-        need, length = least_overlap(len(query)), self.end[place] - self.begin[place]
+        need = least_overlap(len(query))
         if len(place) < need:
-            return np.zeros(0, np.int64)
-        order = place[np.argsort(length, kind="stable")]
-        long = min(need - 1, int(need / (MU * np.log2(max(2, int(length.max()))) + 1)))
-        short, probed = order[: len(order) - long], order[len(order) - long :]
-        merged = np.concatenate([self.owner[self.begin[i] : self.end[i]] for i in short.tolist()])
-        counts = np.bincount(merged, minlength=len(self.sizes))
-        fits = (100 * self.sizes >= PERCENT * len(query)) & (100 * len(query) >= PERCENT * self.sizes)
-        left = np.flatnonzero((counts >= need - long) & allowed & fits)
-        got = counts[left]
-        for k, i in enumerate(probed.tolist()):
+            return none
+        place = place[np.argsort(self.length[place], kind="stable")]
+        length = self.length[place]
+        long = min(need - 1, int(need / (MU * np.log2(max(2, int(length[-1]))) + 1)))
+        n = length[: len(place) - long]
+        ends = np.cumsum(n)
+        merged = self.owner[np.arange(ends[-1]) + np.repeat(self.begin[place[: len(n)]] - (ends - n), n)]
+        if len(merged) * 4 < len(self.sizes):
+            left, got = np.unique(merged, return_counts=True)
+        else:
+            counts = np.bincount(merged, minlength=len(self.sizes))
+            left = np.flatnonzero(counts)
+            got = counts[left]
+        size = self.sizes[left]
+        stay = (got >= need - long) & (100 * size >= PERCENT * len(query)) & (100 * len(query) >= PERCENT * size)
+        left, got = left[stay], got[stay]
+        if wanted is not None and len(left):
+            stay = wanted(left)
+            left, got = left[stay], got[stay]
+        for k in range(len(n), len(place), PROBED):
             if not len(left):
-                break
-            part = self.owner[self.begin[i] : self.end[i]]
-            at = np.searchsorted(part, left)
-            got = got + (part[np.minimum(at, len(part) - 1)] == left)
-            if k % 32 == 31:  # those that can no longer reach the overlap go
-                stay = got >= need - (len(probed) - k - 1)
-                left, got = left[stay], got[stay]
+                return none
+            asked = (place[k : k + PROBED, None] * len(self.sizes) + left).ravel()
+            at = np.minimum(np.searchsorted(self.entries, asked), len(self.entries) - 1)
+            got = got + (self.entries[at] == asked).reshape(-1, len(left)).sum(axis=0)
+            stay = got >= need - max(0, len(place) - k - PROBED)  # the others can no longer reach the overlap
+            left, got = left[stay], got[stay]
         return left[100 * got >= PERCENT * (len(query) + self.sizes[left] - got)]
 
 
-def link_sets(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect all sets which any links connect."""
-    k, edges = len(sets), []
-    union = _Union(k)
+def link_sets(sets: list[np.ndarray], cut: list[int] | None = None) -> list[int]:
+    """For each set, the least set that links connect it to; cut gives the limits of groups between which nothing links."""
+    lists, union = Lists(sets), _Union(len(sets))
 
-    def attempt(i: int, j: int) -> None:
-        if union.find(i) != union.find(j) and linked(sets[i], sets[j]):
+    def search(i: int) -> None:
+        apart = lambda found: np.fromiter((union.find(j) != union.find(i) for j in found.tolist()), bool, len(found))
+        for j in lists.search(sets[i], apart).tolist():
             union.join(i, j)
-            edges.append((i, j))
-
-    if k == 2:
-        attempt(0, 1)
-        return edges
-    for turn in range(3):  # sets with an equal least hash are mostly alike
-        key = [int(_mix(s ^ np.uint64(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).min()) for s in sets]
-        order = sorted(range(k), key=lambda i: (key[i], len(sets[i]), i))
-        for i, j in zip(order, order[1:], strict=False):
-            if key[i] == key[j]:
-                attempt(i, j)
-    roots = np.array([union.find(i) for i in range(k)])
-    if (roots == roots[0]).all():
-        return edges
-    kinds, sizes = np.unique(roots, return_counts=True)
-    main, lists = int(kinds[sizes.argmax()]), Lists(sets)
-    for i in np.flatnonzero(roots != main).tolist():
-        mine = union.find(i)
-        allowed = np.array([union.find(j) != mine for j in range(k)]) if k < 64 else _apart(union, k, mine)
-        for j in lists.search(sets[i], allowed).tolist():
-            if union.join(i, j):
-                edges.append((i, j))
-    return edges
-
-
-def _apart(union: _Union, k: int, mine: int) -> np.ndarray:
-    up = np.array(union.up)
-    while True:
-        higher = up[up]
-        if (higher == up).all():
-            union.up = up.tolist()
-            return up != mine
-        up = higher
+
+    limits = cut or [0, len(sets)]
+    for lo, hi in zip(limits, limits[1:], strict=False):
+        seeds = range(lo, hi, (hi - lo) // SEEDS) if hi - lo >= 4 * SEEDS else range(lo, min(lo + 1, hi))
+        for i in seeds:
+            search(i)
+        if hi - lo > 1:
+            main = Counter(map(union.find, range(lo, hi))).most_common(1)[0][0]
+            for i in range(lo, hi):
+                if i not in seeds and union.find(i) != union.find(main):
+                    search(i)
+    return [union.find(i) for i in range(len(sets))]
 
 
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+#: Neighbours below a node of the trees that stand for components, so that no node is the key of very many edges.
+BRANCHES = 64
+
+
 @common.trimmed
 def _search_blocks(table: pa.Table) -> pa.Table:
-    """Links inside each candidate group of a task's rows."""
+    """Edges that connect what links inside each candidate group of a task's rows connect."""
     table = table.sort_by([("label", "ascending"), ("class", "ascending")])
     labels, classes = table.column("label").to_numpy(), table.column("class").to_numpy()
     data, sizes = _joined(table.column("hashes"))
     ends = np.cumsum(sizes)
-    cut = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)]
-    a, b = [], []
-    for lo, hi in zip(cut, cut[1:], strict=False):
-        rows = [lo, *(i for i in range(lo + 1, hi) if classes[i] != classes[i - 1])]
-        for i, j in link_sets([data[ends[r] - sizes[r] : ends[r]] for r in rows]):
-            a.append(int(classes[rows[i]])), b.append(int(classes[rows[j]]))
+    rows = np.flatnonzero(np.append(True, (labels[1:] != labels[:-1]) | (classes[1:] != classes[:-1]))) if len(labels) else np.zeros(0, np.int64)
+    labels, classes = labels[rows], classes[rows]
+    cut = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(rows)]
+    root = np.array(link_sets([data[ends[r] - sizes[r] : ends[r]] for r in rows.tolist()], cut), np.int64)
+    order = np.argsort(root, kind="stable")
+    first = np.searchsorted(root[order], root[order])
+    number = np.arange(len(order)) - first
+    inner = np.flatnonzero(number)
+    a, b = classes[order[inner]], classes[order[first[inner] + (number[inner] - 1) // BRANCHES]]
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}, _EDGES)
 
 
 @common.trimmed
 def _search_apart(table: pa.Table) -> pa.Table:
-    """Links between the queries and the rows of one block that are in other components."""
+    """Links between the queries and the rows of one block that are in other components, one to each of these."""
     data, sizes = _joined(table.column("hashes"))
     ends = np.cumsum(sizes)
     asks, classes, now = (table.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "class", "now"))
     rows, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
-    sets = [data[ends[r] - sizes[r] : ends[r]] for r in rows.tolist()]
-    lists, a, b = Lists(sets), [], []
+    lists, there, a, b = Lists([data[ends[r] - sizes[r] : ends[r]] for r in rows.tolist()]), now[rows], [], []
     for q in queries.tolist():
-        for j in lists.search(data[ends[q] - sizes[q] : ends[q]], now[rows] != now[q]).tolist():
+        found = lists.search(data[ends[q] - sizes[q] : ends[q]], lambda left, own=now[q]: there[left] != own)
+        for j in found[np.unique(there[found], return_index=True)[1]].tolist():
             a.append(int(classes[q])), b.append(int(classes[rows[j]]))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}, _EDGES)
 
@@ -415,19 +410,18 @@ def candidate_groups(samples: DataFrame) -> DataFrame:
     signs = signed.filter("hash IS NOT NULL").select("hash", "a")
     least = signs.groupBy("hash").agg(F.min("a").alias("b"))
     across = signs.join(least, "hash").filter("a <> b").select("a", "b").distinct()
-    return components(across.union(signed.filter("hash IS NULL").select("a", "b")))
+    out = components(across.union(signed.filter("hash IS NULL").select("a", "b")))
+    common.discard(signed)
+    return out
 
 
-def links(docs: DataFrame, samples: DataFrame, block: int = BLOCK) -> DataFrame:
-    """a, b: links between classes, enough to connect all that any links connect."""
-    spark = docs.sparkSession
+def links(docs: DataFrame, samples: DataFrame, kinds: DataFrame, block: int = BLOCK) -> DataFrame:
+    """a, b: edges between classes that connect all that any links connect."""
     groups = candidate_groups(samples)
-    nodes = F.col("node")
-    members = samples.join(groups, F.col("class") == nodes)
-    wanted = common.materialize(members.groupBy("class", "label").agg(F.min("doc_id").alias("doc_id")), "jaccard-candidates")
+    wanted = common.materialize(kinds.join(groups, F.col("class") == F.col("node")).select("class", "label", "least"), "jaccard-candidates")
     small = wanted.count() * 24 <= common.BROADCAST_BYTES
-    ids = wanted.select("doc_id").distinct()
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    ids = wanted.select("least").distinct()
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
     found = texts.mapInArrow(_full_sets, "class bigint, n bigint, hashes binary")
     sets = common.materialize(found.join(F.broadcast(wanted) if small else wanted, "class").select("label", "class", "n", "hashes"), "jaccard-sets")
     sums = sets.groupBy("label").agg(F.sum("n").alias("total")).withColumn("blocks", F.ceil(F.col("total") / block).cast("int"))
@@ -438,12 +432,15 @@ def links(docs: DataFrame, samples: DataFrame, block: int = BLOCK) -> DataFrame:
     cut = placed.filter("blocks > 1")
     schema = "a bigint, b bigint"
     edges = alone.groupBy("block").applyInArrow(_search_blocks, schema)
-    if not sums.filter("blocks > 1").limit(1).count():
-        return common.materialize(edges, "jaccard-links")
+    large = sums.filter("blocks > 1").count()
+    if not large:
+        out = common.materialize(edges, "jaccard-links")
+        common.discard(sets, sums, wanted)
+        return out
     # large groups: blocks with common pivots, then whatever is still apart against every block
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("class"), "class"))
     chosen = cut.select("label", "class").distinct().withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).select("class")
-    pivots = cut.join(F.broadcast(chosen), "class", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pivots = cut.join(F.broadcast(chosen) if large * PIVOTS * 16 <= common.BROADCAST_BYTES else chosen, "class", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = cut.unionByName(pivots).select("label", "class", "hashes", "salt")
     edges = common.materialize(edges.union(dealt.groupBy("label", "salt").applyInArrow(_search_blocks, schema)), "jaccard-links")
     now = components(edges).select(F.col("node").alias("class"), F.col("label").alias("now"))
@@ -458,7 +455,9 @@ def links(docs: DataFrame, samples: DataFrame, block: int = BLOCK) -> DataFrame:
     columns = ["label", "salt", "share", "class", "now", "hashes"]
     both = one.select(*columns, F.lit(True).alias("asks")).union(every.select(*columns, F.lit(False).alias("asks")))
     more = both.groupBy("label", "salt", "share").applyInArrow(_search_apart, schema)
-    return common.materialize(edges.union(more), "jaccard-links")
+    out = common.materialize(edges.union(more), "jaccard-links")
+    common.discard(sets, sums, wanted, state, edges)
+    return out
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -467,13 +466,17 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     samples = docs.select("doc_id", "text").mapInArrow(_sampled, f"slice bigint, doc_id {kind}, class bigint, n bigint, sample binary")
     samples = common.materialize(samples, "jaccard-samples")
-    labels = components(links(docs, samples, block))
-    rows = samples.select("doc_id", F.col("class"), "n")
-    labelled = rows.join(labels, F.col("class") == F.col("node"), "left").select("doc_id", "class", "n", F.coalesce("label", "class").alias("component"))
-    heads = labelled.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("head"), F.count("*").alias("size")).filter("size > 1").select("component", "head")
-    heads = common.materialize(heads, "jaccard-heads")
+    # one row for each class: copies are counted before anything is joined or shuffled by class
+    kinds = common.materialize(samples.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "jaccard-classes")
+    edges = links(docs, samples, kinds, block)
+    labels = components(edges)
+    common.discard(edges)
+    named = kinds.join(labels, F.col("class") == F.col("node"), "left").select("class", "least", "rows", F.coalesce("label", "class").alias("component"))
+    heads = named.groupBy("component").agg(F.min("least").alias("head"), F.sum("rows").alias("size")).filter("size > 1").select("component", "head")
+    heads = common.materialize(named.join(heads, "component").select(F.col("class").alias("named"), "head"), "jaccard-heads")
+    common.discard(kinds)
     small = heads.count() * 16 <= common.BROADCAST_BYTES
-    out = labelled.withColumn("component", F.when(F.col("n") > 0, F.col("component"))).join(F.broadcast(heads) if small else heads, "component", "left")
+    out = samples.join(F.broadcast(heads) if small else heads, (F.col("class") == F.col("named")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("head", "doc_id").alias("component_id"), F.col("class").alias("class_id"))
 
 

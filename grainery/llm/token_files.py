@@ -16,7 +16,6 @@ repeated rows are kept, ordered by text; an empty table gives empty files.
 from __future__ import annotations
 
 import functools
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -99,6 +98,6 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
 def write_and_digest(docs: DataFrame, tokenizer_path: str, end_id: int = 2, path: str | None = None) -> DataFrame:
     """Write token files (in the shared folder if path is None) and digest them."""
     spark = docs.sparkSession
-    path = path or f"{common.shared_folder(spark)}/grainery/{uuid.uuid4().hex}/tokens"
+    path = path or common.new_path(spark, "tokens")
     write(docs, path, tokenizer_path, end_id)
     return digest(spark, path)

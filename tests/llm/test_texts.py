@@ -159,6 +159,47 @@ def test_jaccard(spark, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("block", [1 << 20, 150])
+def test_jaccard_null_and_repeated_ids(spark, block):
+    """Each row on its own by brute force; a component is named by its least id that is not null."""
+    r, vocabulary, rows = random.Random(9), [f"w{i}" for i in range(200)], []
+    for c in range(12):  # chains over rows without an id, and ids that repeat with other texts
+        w = [r.choice(vocabulary) for _ in range(50)]
+        for k in range(7):
+            w = list(w)
+            w[r.randrange(50)] = r.choice(vocabulary)
+            rows.append((None if k in (1, 3, 4) and c < 9 or c == 11 else 10 * (c // 2) + k, " ".join(w)))
+    rows += rows[:3] + [(None, None), (None, "a b"), (3, "a b")]
+    want = brute([(i, t) for i, (_, t) in enumerate(rows)])
+    least = {}
+    for i, (_, root) in want.items():
+        if rows[i][0] is not None:
+            least[root] = min(least.get(root, rows[i][0]), rows[i][0])
+    expected = sorted(((rows[i][0], n, least.get(root)) for i, (n, root) in want.items()), key=repr)
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), block).collect()
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=repr) == expected
+
+
+def test_link_sets():
+    r = np.random.default_rng(3)
+    for _ in range(30):
+        made, cut = [], [0]
+        for _ in range(r.integers(1, 4)):
+            base = r.integers(0, 1 << 40, 60).astype(np.uint64)
+            for _ in range(r.integers(0, 40)):
+                s = base.copy()
+                s[r.integers(0, 60, r.integers(0, 12))] = r.integers(0, 1 << 40)
+                made.append(np.unique(s))
+            cut.append(len(made))
+        root = list(range(len(made)))
+        for i, a in enumerate(made):
+            for j, b in enumerate(made[:i]):
+                if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
+                    lo, hi = sorted((root[i], root[j]))
+                    root = [lo if x == hi else x for x in root]
+        assert jaccard_join.link_sets(made, cut) == root
+
+
 def test_jaccard_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op8_jaccard_join(spark, sf_dir).collect()} == brute(rows)
@@ -185,7 +226,9 @@ def test_divide_skip():
     lists = jaccard_join.Lists(made)
     for q in made:
         want = [i for i, s in enumerate(made) if 100 * len(np.intersect1d(q, s)) >= 80 * len(np.union1d(q, s))]
-        assert lists.search(q, np.ones(len(made), bool)).tolist() == want
+        assert lists.search(q).tolist() == want
+        odd = [i for i in want if i % 2]
+        assert lists.search(q, lambda left: left % 2 == 1).tolist() == odd
 
 
 def test_components(spark):
