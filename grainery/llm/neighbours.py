@@ -5,9 +5,15 @@ Each of several tables hashes a vector to the cells of random Gaussian
 projections. A query visits, in every table, its own cell and then the
 perturbed cells in the order of their estimated success: the less the sum of
 squared distances to the cell walls that must be crossed, the earlier. The
-candidates of all tables are scored on the original vectors in double precision,
+candidates of all tables are ranked on the original vectors in double precision,
 block by block, and each block passes on its best only; these are merged.
 
+The number of projections is fitted to the table: the k-th cosine of FITTED queries
+is found against all rows, and the most projections are taken with which probing misses at most
+MISSED of the rows at the cosine that nearly all of them reach. The more rows there are, or the better
+they cluster, the nearer is the k-th neighbour, the more and smaller are the cells, and the
+smaller is the share of rows that a query meets.
+
 Equal vectors are hashed once: a row stands for all of them and keeps its k + 1
 least ids, as no other can be among k nearest with ties to the smaller id.
 Every other vector is in every table. Cells are dealt to blocks by a hash; if a cell
@@ -21,27 +27,31 @@ MISSED of the rows are missed, is scored against all rows, block by block.
 Vectors that are null, empty, zero or have null or non-finite components take
 no part; only vectors of the same length are compared.
 Defined results: fewer candidates than k give fewer rows; repeated ids are rows
-of their own and never their own neighbours; an empty table gives no rows;
-other columns are ignored.
+of their own and never their own neighbours; components of any size give finite
+scores; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainery.llm import common
 
-#: Tables, projections in each, cell width for unit vectors, cells probed in each table, rows in a block, seed.
-TABLES, PROJECTIONS, WIDTH, PROBES, BLOCK, SEED = 8, 6, 1.5, 100, 20_000, 11
+#: Tables, cell width for unit vectors, cells probed in each table, rows in a block, seed.
+TABLES, WIDTH, PROBES, BLOCK, SEED = 8, 1.5, 100, 20_000, 11
 #: The share of rows at a cosine that probing may miss.
 MISSED = 0.08
+#: Projections that may be fitted (with fewer, probing would meet nearly all rows), queries that they are fitted to, and the place of the cosine used among the queries' k-th ones, in ascending order.
+PROJECTIONS, FITTED, PLACE = range(6, 17), 64, 1
+#: The cheapest moves out of a cell whose combinations are probed; two moves of one projection are no combination.
+MOVES = 10
 
 
 class Family:
@@ -66,38 +76,65 @@ class Family:
     def probes(self, table: int, unit: np.ndarray, n: int) -> np.ndarray:
         """For each query, the keys of its n most promising cells, best first."""
         cell, inside = self.place(table, unit)
-        moves = _moves(cell.shape[1])
-        cost = (inside**2) @ (moves == -1).T + ((1 - inside) ** 2) @ (moves == 1).T
-        best = np.argsort(cost, axis=1, kind="stable")[:, :n]
-        return self.key(table, cell[:, None, :] + moves[best])
+        return self.key(table, cell)[:, None] + (moves(inside, n) * self.mix[table]).sum(axis=-1)
 
 
 @functools.cache
-def _moves(projections: int) -> np.ndarray:
-    """All ways to leave a cell by at most one step per projection."""
-    return np.array(list(itertools.product((0, -1, 1), repeat=projections)), np.int64)
+def _subsets(n: int) -> np.ndarray:
+    """All subsets of n things, as rows of zeros and ones; the empty one comes first."""
+    return (np.arange(1 << n)[:, None] >> np.arange(n) & 1).astype(np.float64)
+
+
+def moves(inside: np.ndarray, n: int) -> np.ndarray:
+    """For places inside cells (rows), the n most promising ways to leave them by a step in some projections, best first: staying, then by cost."""
+    size = inside.shape[1]
+    cost = np.concatenate([inside**2, (1 - inside) ** 2], axis=1)  # a step down, a step up
+    cheap = np.argsort(cost, axis=1, kind="stable")[:, : min(MOVES, 2 * size)]
+    subsets = _subsets(cheap.shape[1])
+    price = np.take_along_axis(cost, cheap, 1) @ subsets.T
+    for i in range(cheap.shape[1]):
+        for j in range(i):
+            rows = np.flatnonzero(cheap[:, i] % size == cheap[:, j] % size)
+            price[np.ix_(rows, np.flatnonzero(subsets[:, i] * subsets[:, j]))] = np.inf
+    n = min(n, int(np.isfinite(price).sum(axis=1).min()))
+    best = np.argpartition(price, n - 1, axis=1)[:, :n]
+    best = np.take_along_axis(best, np.argsort(np.take_along_axis(price, best, 1), axis=1, kind="stable"), 1)
+    out, row = np.zeros((*best.shape, size), np.int64), np.arange(len(inside))[:, None]
+    for i in range(cheap.shape[1]):
+        step = np.where(cheap[:, i] < size, -1, 1)[:, None]
+        out[row, np.arange(n)[None, :], cheap[:, i][:, None] % size] += (subsets[best, i] * step).astype(np.int64)
+    return out
 
 
 @functools.cache
-def reach(tables: int, projections: int, width: float, probes: int) -> float:
-    """The least cosine from which on at most MISSED of the rows are in no probed cell, by simulation."""
-    random, moves = np.random.default_rng(SEED), _moves(projections)
-    shape = (2000, tables, projections)
+def _simulated(tables: int, projections: int, width: float, probes: int) -> tuple[np.ndarray, ...]:
+    random, shape = np.random.default_rng(SEED), (600 * tables, projections)
     own, other, shift = random.normal(size=shape), random.normal(size=shape), random.uniform(0, width, size=shape)
     at = (own + shift) / width
-    cell = np.floor(at)
-    inside = at - cell
-    cost = (inside**2) @ (moves == -1).T + ((1 - inside) ** 2) @ (moves == 1).T
-    last = np.partition(cost, min(probes, len(moves)) - 1, axis=-1)[..., min(probes, len(moves)) - 1]
-    least = 1.0
-    for cosine in np.arange(0.99, -1.0, -0.01):
-        move = np.floor((cosine * own + np.sqrt(1 - cosine**2) * other + shift) / width) - cell
-        price = np.where(move == -1, inside**2, np.where(move == 1, (1 - inside) ** 2, 0)).sum(axis=-1)
-        met = (np.abs(move) <= 1).all(axis=-1) & (price <= last)
-        if 1 - met.any(axis=1).mean() > MISSED:
-            break
-        least = float(cosine)
-    return least
+    return own, other, shift, np.floor(at), moves(at - np.floor(at), probes)
+
+
+def missed(cosine: float, tables: int, projections: int, width: float, probes: int) -> float:
+    """The share of rows at a cosine that are in no probed cell, by simulation."""
+    own, other, shift, cell, visited = _simulated(tables, projections, width, probes)
+    move = np.floor((cosine * own + np.sqrt(max(0.0, 1 - cosine**2)) * other + shift) / width) - cell
+    met = (visited == move[:, None, :]).all(axis=-1).any(axis=-1)
+    return 1 - float(met.reshape(-1, tables).any(axis=1).mean())
+
+
+@functools.cache
+def reach(tables: int, projections: int, width: float, probes: int) -> float:
+    """The least cosine, in hundredths, from which on at most MISSED of the rows are missed."""
+    lo, hi = -100, 100
+    while lo < hi:
+        middle = (lo + hi) // 2
+        lo, hi = (lo, middle) if missed(middle / 100, tables, projections, width, probes) <= MISSED else (middle + 1, hi)
+    return lo / 100
+
+
+def fitted(cosine: float, tables: int, width: float, probes: int) -> int:
+    """The most projections with which probing reaches a cosine."""
+    return next((m for m in reversed(PROJECTIONS) if reach(tables, m, width, probes) <= cosine), PROJECTIONS[0])
 
 
 @functools.cache
@@ -111,9 +148,42 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, size)
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, which changes no cosine and lets no square overflow or vanish."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=-1, keepdims=True))[1])
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-    return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+    scaled = _scaled(vectors)
+    return scaled / np.sqrt((scaled * scaled).sum(axis=-1, keepdims=True))
+
+
+@common.tidy
+def _nearness(batches: Iterator[pa.RecordBatch], asked: list[np.ndarray], k: int) -> Iterator[pa.RecordBatch]:
+    """The k largest cosines of some queries with a task's rows."""
+    best: list[list[float]] = [[] for _ in asked]
+    units = [_unit(a) for a in asked]
+    for batch in batches:
+        sizes = batch.column("size").to_numpy()
+        for size in np.unique(sizes).tolist():
+            rows = batch.filter(pa.array(sizes == size))
+            unit, copies = _unit(_matrix(rows.column("vector"), size)), np.minimum(pc.list_value_length(rows.column("ids")).to_numpy(), k)
+            for i, u in enumerate(units):
+                if len(u) == size:
+                    score = unit @ u
+                    top = np.argsort(-score, kind="stable")[:k]
+                    best[i] = sorted([*best[i], *np.repeat(score[top], copies[top]).tolist()], reverse=True)[:k]
+    flat = [(i, s) for i, found in enumerate(best) for s in found]
+    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in flat], pa.int32()), pa.array([s for _, s in flat], pa.float64())], names=["query", "score"])
+
+
+def _usual_cosine(kinds: DataFrame, queries: DataFrame, k: int) -> float:
+    """The cosine that the k-th neighbour of nearly every query reaches, from FITTED queries against all rows."""
+    asked = [np.array(r.vector, np.float64) for r in queries.orderBy(F.xxhash64("ids"), "ids").limit(FITTED).collect()]
+    found = kinds.mapInArrow(functools.partial(_nearness, asked=asked, k=k + 1), "query int, score double")  # a query meets itself
+    least = found.groupBy("query").agg(F.sort_array(F.collect_list("score"), False).alias("best")).select(F.get("best", F.lit(k)).alias("kth")).filter("kth IS NOT NULL")
+    cosines = sorted(r.kth for r in least.collect())
+    return cosines[min(PLACE, len(cosines) - 1)] if cosines else 1.0
 
 
 @common.tidy
@@ -147,6 +217,7 @@ _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score",
 
 def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Cosines in double precision; each depends on its two vectors alone."""
+    query, vectors = _scaled(query), _scaled(vectors)
     dots = (vectors * query).sum(axis=1)
     return dots / (np.sqrt((vectors * vectors).sum(axis=1)) * np.sqrt((query * query).sum()))
 
@@ -158,6 +229,7 @@ def _best(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
         return _FOUND.empty_table()
     size = rows.column("size")[0].as_py()
     vectors, asked = _matrix(rows.column("vector"), size), _matrix(queries.column("vector"), size)
+    unit, near = _unit(vectors), _unit(asked)
     cells = np.asarray(rows.column("cells").combine_chunks().flatten())
     order = np.argsort(cells, kind="stable")
     cells = cells[order]
@@ -166,24 +238,25 @@ def _best(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     out = [[], [], []]
     for q in range(len(asked)):
         visit = np.array(probes[q])  # in order of success
-        lo, hi = np.searchsorted(cells, visit, "left"), np.searchsorted(cells, visit, "right")
-        found = np.concatenate([order[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
-        if not len(found):
-            continue
-        _add(out, own[q], found, cosines(asked[q], vectors[found]), ids, k)
+        lo, n = np.searchsorted(cells, visit, "left"), np.searchsorted(cells, visit, "right")
+        n -= lo
+        ends = np.cumsum(n)
+        found = order[np.arange(ends[-1]) + np.repeat(lo - (ends - n), n)]
+        if len(found):
+            _add(out, own[q], found, unit[found] @ near[q], asked[q], vectors, ids, k)
     return _table(out)
 
 
-def _add(out: list[list], own: list[int], found: np.ndarray, score: np.ndarray, ids: list[list[int]], k: int) -> None:
-    """Add the k best of the found rows for a query's ids."""
-    if len(found) > k + 1:  # ties with the last one stay
-        last = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
-        found, score = found[score >= last], score[score >= last]
+def _add(out: list[list], own: list[int], found: np.ndarray, rough: np.ndarray, query: np.ndarray, vectors: np.ndarray, ids: list[list[int]], k: int) -> None:
+    """Add the k best of the found rows for a query's ids; those that may be among them by a rough score are scored exactly."""
+    if len(found) > k + 1:
+        found = found[rough >= np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1] - 1e-9]
+    score = cosines(query, vectors[found])
     for mine in own:
-        near = sorted((-s, i) for r, s in zip(found.tolist(), score.tolist(), strict=True) for i in ids[r] if i != mine)[:k]
-        out[0] += [mine] * len(near)
-        out[1] += [i for _, i in near]
-        out[2] += [-s for s, _ in near]
+        best = sorted((-s, i) for r, s in zip(found.tolist(), score.tolist(), strict=True) for i in ids[r] if i != mine)[:k]
+        out[0] += [mine] * len(best)
+        out[1] += [i for _, i in best]
+        out[2] += [-s for s, _ in best]
 
 
 def _table(out: list[list]) -> pa.Table:
@@ -197,9 +270,10 @@ def _best_of_all(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
         return _FOUND.empty_table()
     size = rows.column("size")[0].as_py()
     vectors, asked = _matrix(rows.column("vector"), size), _matrix(queries.column("vector"), size)
-    ids, out = rows.column("ids").to_pylist(), [[], [], []]
-    for query, own in zip(asked, queries.column("ids").to_pylist(), strict=True):
-        _add(out, own, np.arange(len(vectors)), cosines(query, vectors), ids, k)
+    ids, out, every = rows.column("ids").to_pylist(), [[], [], []], np.arange(len(vectors))
+    unit, near = _unit(vectors), _unit(asked)
+    for query, direction, own in zip(asked, near, queries.column("ids").to_pylist(), strict=True):
+        _add(out, own, every, unit @ direction, query, vectors, ids, k)
     return _table(out)
 
 
@@ -214,15 +288,19 @@ def _all_rows(kinds: DataFrame, queries: DataFrame, n: int, k: int, block: int)
     return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(functools.partial(_best_of_all, k=k), "query_id bigint, vec_id bigint, score double")
 
 
+def _kind(vectors: DataFrame) -> str:
+    return "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+
+
 def usable(vectors: DataFrame) -> DataFrame:
-    """id, vector of the rows of (vec_id, embedding) that take part."""
+    """id, vector of the rows of (vec_id, embedding) that take part; vectors of single precision stay so."""
     bad = "x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity')"
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast(f"array<{_kind(vectors)}>").alias("vector"))
     return rows.filter(f"id IS NOT NULL AND vector IS NOT NULL AND NOT exists(vector, {bad}) AND exists(vector, x -> x <> 0)")
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by `every`."""
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = TABLES, projections: int | None = None, width: float = WIDTH, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by `every`; projections are fitted if none are given."""
     common.bound_batches(vectors.sparkSession)
     rows = usable(vectors).withColumn("print", F.xxhash64("vector"))
     # one row per distinct vector with its least k + 1 ids, and apart from them its queries
@@ -232,8 +310,9 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = TABLE
     kinds = common.materialize(kinds.select(F.size("vector").alias("size"), "ids", "vector"), "ann-vectors")
     queries = rows.filter(F.col("id") % every == 0).select(F.size("vector").alias("size"), F.array("id").alias("ids"), "vector")
     n = kinds.count()
+    projections = projections or fitted(_usual_cosine(kinds, queries, k), tables, width, probes)
     parameters, blocks = (tables, projections, width, SEED), max(1, -(-n // block))
-    schema = "table int, block int, size int, cells array<bigint>, ids array<bigint>, vector array<double>"
+    schema = f"table int, block int, size int, cells array<bigint>, ids array<bigint>, vector array<{_kind(vectors)}>"
     index = common.materialize(kinds.mapInArrow(functools.partial(_hashed, parameters=parameters, probes=0, blocks=blocks), schema), "ann-index")
     fullest = index.groupBy("table", "block").count().agg(F.max("count")).first()[0] or 0
     salts = max(1, -(-fullest // block))
