@@ -205,3 +205,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (bits & 3) <> 0 AS base_failed, bits = 0 AS kept, n_lines, n_upper, n_letters, n_marks, bits
 FROM b
 """.replace("__BITS", " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in RULES))
+
+#: DuckDB SQL for ablations(ledger(documents)).
+ABLATIONS_SQL = f"""
+WITH book AS ({ORACLE_SQL}),
+grid AS (SELECT * FROM (VALUES {", ".join(f"('{p}', '{r.name}', {mask(POLICIES[p])}, {1 << r.bit})" for p in POLICIES for r in RULES if r.name in POLICIES[p])}) v(policy, rule, m, b))
+SELECT policy, rule, count(*) FILTER (bits & b <> 0) AS failed, count(*) FILTER (bits & m <> 0) AS rejected,
+  count(*) FILTER (bits & m & ~b <> 0) AS rejected_without, count(*) FILTER (bits & m = b) AS only_this
+FROM grid LEFT JOIN book ON TRUE GROUP BY policy, rule
+"""

@@ -53,6 +53,11 @@ def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rule_ledger, op2_feistel_pseudonyms, op3_token_counts, op4_sql_bpe, op5_multiprobe_hashing, op6_mixture_packing, op7_language_mixtures, op8_jaccard_join, op9_rule_ensemble, op10_token_files)}
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects alone, from the ledger of the whole corpus."""
+    return quality_rules.ablations(quality_rules.ledger(common.table(spark, sf_dir, "documents")))
 
-ORACLE_SQL: dict[str, str] = {"op1_rule_ledger": quality_rules.ORACLE_SQL, "op8_jaccard_join": jaccard_join.ORACLE_SQL}
+
+QUERIES = {f.__name__: f for f in (op1_rule_ledger, op2_feistel_pseudonyms, op3_token_counts, op4_sql_bpe, op5_multiprobe_hashing, op6_mixture_packing, op7_language_mixtures, op8_jaccard_join, op9_rule_ensemble, op10_token_files, rule_ablations)}
+
+ORACLE_SQL: dict[str, str] = {"op1_rule_ledger": quality_rules.ORACLE_SQL, "rule_ablations": quality_rules.ABLATIONS_SQL, "op8_jaccard_join": jaccard_join.ORACLE_SQL}

@@ -10,7 +10,8 @@ The fit takes at most SAMPLE labelled training rows, those of the least hash of
 their id, to the driver (the bound is that parameter); scoring covers every row.
 
 Defined results: a null or empty text has zero statistics and gets the score of
-such; repeated rows get equal scores; conflicting labels of one id are averaged;
+such; repeated rows get equal scores; conflicting labels of one id are averaged; of the
+texts of a repeated labelled id the one with the least statistics is learned;
 without two classes to tell apart the score is 1.0, or 0.0 if only class 0
 was seen; an empty table gives an empty result.
 """
@@ -34,7 +35,7 @@ SAMPLE, TREES, DEPTH, BINS, LEARNING_RATE, PENALTY, STEPS = 20_000, 40, 3, 24, 0
 
 STATISTICS = (
     "log_words", "word_length", "symbol_rate", "mark_rate", "upper_rate", "digit_rate", "repeat_rate",
-    "dup_line_rate", "distinct_rate", "top_word_rate", "stop_rate", "line_words", "comma_rate",
+    "dup_line_rate", "distinct_rate", "top_word_rate", "full_stop_rate", "line_words", "comma_rate",
 )
 _DIGITS = re.compile(r"[0-9]")
 
@@ -206,7 +207,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
     rows = describe(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ["doc_id", "__label"])
-    data = rows.dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    names = [f"__{s}" for s in STATISTICS]
+    data = rows.groupBy("doc_id").agg(F.min("__label").alias("__label"), F.min(F.struct(*names)).alias("s")).select("doc_id", "__label", "s.*").orderBy("doc_id").toArrow()
     x = np.column_stack([data.column(f"__{s}").to_numpy() for s in STATISTICS]) if data.num_rows else np.zeros((0, len(STATISTICS)))
     return fit_rows(x, (data.column("__label").to_numpy() >= 0.5).astype(np.float64))
 

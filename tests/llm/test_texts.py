@@ -21,6 +21,14 @@ def test_rules(spark, sf_dir, odd, none):
     assert quality_rules.judge(odd).count() == odd.count() and quality_rules.judge(none).collect() == []
 
 
+def test_ablations_query(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'").fetchall()
+    want = con.sql(queries.ORACLE_SQL["rule_ablations"]).to_arrow_table().to_pylist()
+    order = lambda rows: sorted(rows, key=lambda r: (r["policy"], r["rule"]))
+    assert order(queries.QUERIES["rule_ablations"](spark, sf_dir).toArrow().to_pylist()) == order(want)
+
+
 def test_repeated_words():
     def brute(words):
         at = defaultdict(list)
