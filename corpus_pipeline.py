@@ -26,20 +26,21 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near duplicates, one row for each id.
+    """The document of least id of each group of near duplicates, one row for each id: of an id's rows the one of least text.
 
     Rows without an id cannot be told apart: those in a group without any id all stay.
     """
-    found = common.materialize(jaccard_join.near_duplicates(docs).select("doc_id", "component_id"), "pipeline-components")
-    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("rows"))
-    heads = common.materialize(heads, "pipeline-heads")
+    found = jaccard_join.near_duplicates(docs.select("doc_id", "text")).select("doc_id", "component_id")
+    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    heads = common.materialize(heads.select(F.col("doc_id").alias("head"), "n"), "pipeline-heads")
     small = heads.count() * 16 <= common.BROADCAST_BYTES
-    heads = heads.withColumnRenamed("doc_id", "__id")
-    kept = docs.join(F.broadcast(heads) if small else heads, F.col("doc_id").eqNullSafe(F.col("__id")))
-    single = (F.col("rows") == 1) | F.col("doc_id").isNull()
-    if not heads.filter(F.col("__id").isNotNull() & (F.col("rows") > 1)).limit(1).count():
-        return kept.select(*docs.columns)
-    return kept.filter(single).select(*docs.columns).union(kept.filter(~single).dropDuplicates(["doc_id"]).select(*docs.columns))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    kept = rows.join(F.broadcast(heads) if small else heads, F.col("row.doc_id").eqNullSafe(F.col("head")))
+    if heads.filter("head IS NOT NULL AND n > 1").isEmpty():
+        return kept.select("row.*")
+    alone = F.col("head").isNull() | (F.col("n") == 1)
+    first = kept.filter(~alone).groupBy("head").agg(F.min_by("row", F.struct("row.text", F.to_json("row"))).alias("row"))
+    return kept.filter(alone).select("row.*").union(first.select("row.*"))
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,13 +56,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("quality classifier", classifier), ("n-gram Jaccard join", deduplicate), ("PII", privacy), ("packing", pack)]
 
-#: SQL can't express the classifier's fit nor the tokenizer; tests hold the stages against brute force.
+#: SQL can't express the classifier's fit nor the tokenizer; tests/llm holds each stage against a plain-Python reading of it.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents, each one's result written and read again."""
+    """Apply the stages to the documents, each one's result written and read again; what a stage has read is deleted after it."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, common.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        common.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
