@@ -47,12 +47,12 @@ def _video(args: argparse.Namespace) -> int:
 
 
 def _query(args: argparse.Namespace) -> int:
-    from grainery.plans import catalogue
+    from grainery.plans import registry
 
-    if args.name not in catalogue.QUERIES:
-        print(json.dumps({"ok": False, "error": f"unknown query; known: {', '.join(sorted(catalogue.QUERIES))}"}))
+    if args.name not in registry.QUERIES:
+        print(json.dumps({"ok": False, "error": f"unknown query; known: {', '.join(sorted(registry.QUERIES))}"}))
         return 1
-    catalogue.QUERIES[args.name](_session(), args.tables).show(args.rows, truncate=80)
+    registry.QUERIES[args.name](_session(), args.tables).show(args.rows, truncate=80)
     return 0
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainery.functions import text as X
+from grainery.operators import metadata
+from grainery.sources import files
 
 SEGMENT = "struct<start:double,duration:double,timestamp:string,text:string>"
 
@@ -101,3 +103,20 @@ def video_chapters(output: DataFrame, key: str = "video_id", text: str = "output
     good = F.filter("j.chapters", lambda c: ~X.blank(c["title"]) & c["start_time"].isNotNull())
     shaped = F.transform(good, lambda c: F.struct(X.strip(c["title"]).alias("title"), c["start_time"].alias("start"), c["end_time"].alias("end")))
     return read.select(key, F.coalesce(shaped, F.array().cast("array<struct<title:string,start:double,end:double>>")).alias("chapters"))
+
+
+def captured(primary: DataFrame, fallback: DataFrame, output: DataFrame, key: str = "video_id") -> DataFrame:
+    """One row for each video with captions: origin, text, n_segments, title, channel, duration, chapters and the metadata's JSON.
+
+    primary and fallback are segments (key, position, start, duration, timestamp, text); the second one counts for videos that the
+    first lacks. output is the tool's JSON (key, output); without a readable one, or for videos that it lacks, title and channel are
+    empty, the duration is null, and the metadata holds no chapters, which says that they were never recorded.
+    """
+    segments = files.caption_segments(primary, fallback, key).withColumn("text", X.collapse("text"))
+    origin = segments.groupBy(key).agg(F.first("origin").alias("origin"))  # one value for each video
+    texts = transcripts(dedupe(segments, key), key)
+    about = video_metadata(output, key).join(video_chapters(output, key), key).join(first_json(output, key), key)
+    error = F.when(F.col("json").isNull(), F.lit("no metadata"))
+    full = texts.join(origin, key).join(about, key, "left")
+    made = metadata.from_video(F.col("channel"), F.col(key).cast("string"), F.col("duration"), F.col("chapters"), error)
+    return full.select(key, "origin", "text", "n_segments", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("channel", F.lit("")).alias("channel"), "duration", "chapters", made.alias("source_metadata"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainery.functions import segmentation as S
+from grainery.operators import metadata
 
 UNIT_FIELDS = "unit_index int, start int, end int, text string, stamp string"
 CHUNK_FIELDS = "chunk_index int, prefix string, content string, chars int, over_cap boolean, start string, end string, body_start int, body_end int"
@@ -99,6 +100,63 @@ def _summary_row(provider, name, **inputs) -> list[tuple]:
     return [(c.ok, c.error, c.backend, c.headings_inserted, c.chapters_used, c.chapters_error, c.message, c.structured_text)]
 
 
+def stored(documents: DataFrame, ids: DataFrame | None = None, provider: S.HeadingProvider | None = None, name: str = "provider") -> tuple[DataFrame, DataFrame]:
+    """Chunks and summaries, by document_id, of stored documents: of all, or of ids(id).
+
+    Text, title, channel and chapters are the document's own, so no caller can leave them out.
+    An unknown id and a transcript whose chapters were never recorded give a summary with an error and no chunks.
+    """
+    chosen = documents if ids is None else documents.join(ids.select("id").distinct(), "id", "left_semi")
+    rows = chosen.select(
+        F.col("id").alias("document_id"), "raw_text", F.coalesce("title", F.lit("")).alias("title"), F.when(F.col("source_type") == "transcript", "transcript").otherwise("article").alias("kind"),
+        metadata.author("source_metadata").alias("channel"), metadata.chapters("source_metadata", "source_type").alias("chapters"), metadata.chapters_error("source_metadata", "source_type").alias("why"),
+    )
+    ready = rows.filter("why IS NULL")
+    given = {"key": "document_id", "text": "raw_text", "kind": F.col("kind"), "title": F.col("title"), "channel": F.col("channel"), "chapters": F.col("chapters"), "provider": provider, "name": name}
+    found, sums = chunks(ready, **given), summaries(ready, **given)
+    refused = rows.filter("why IS NOT NULL").select("document_id", F.col("why").alias("error"))
+    if ids is not None:
+        lost = ids.select("id").distinct().join(documents.select("id"), "id", "left_anti")
+        refused = refused.union(lost.select(F.col("id").alias("document_id"), F.lit("no such document").alias("error")))
+    return found, sums.unionByName(refused.withColumn("ok", F.lit(False)), allowMissingColumns=True)
+
+
+def front_matter(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The pairs of each text's leading block, and where its body starts."""
+
+    def work(text):
+        pairs, at = S.front_matter(text or "")
+        return [(list(pairs.items()), at)]
+
+    return _explode(docs, key, {"text": F.col(text)}, "pairs map<string,string>, body_start int", work)
+
+
+def rendered(docs: DataFrame, points: Column | None = None, key: str = "doc_id", text: str = "text", kind: Column | None = None) -> DataFrame:
+    """Each document's units as a provider reads them, numbered; with points, as a person does: below headings and their anchors."""
+
+    def work(text, kind, points):
+        units = S.units_of(text or "", kind)
+        if points is None:
+            return [(S.render_units(units),)]
+        return [(S.render_with_headings(units, [S.Point(int(p["before_unit"]), p["heading"], 2, p["anchor"] or "") for p in points]),)]
+
+    given = F.lit(None).cast("array<struct<before_unit:int,anchor:string,heading:string>>") if points is None else points
+    return _explode(docs, key, {"text": F.col(text), "kind": F.lit("article") if kind is None else kind, "points": given}, "rendered string", work)
+
+
+def prompts(docs: DataFrame, base: str, transcript: str = "", key: str = "doc_id", text: str = "text", kind: Column | None = None, chapters: Column | None = None, feedback: Column | None = None) -> DataFrame:
+    """What a heading provider is told about each document: the base, more for transcripts, its chapters, and its last faults."""
+
+    def work(text, kind, chapters, feedback):
+        units = S.units_of(text or "", kind)
+        spans = S.chapter_spans(units, S.chapter_points(units, [dict(c) for c in chapters or []]))
+        return [(S.compose_prompt(base, kind, transcript, S.render_chapters(spans), feedback),)]
+
+    none = F.lit(None).cast("array<struct<title:string,start:double,end:double>>")
+    given = {"text": F.col(text), "kind": F.lit("article") if kind is None else kind, "chapters": none if chapters is None else chapters, "feedback": F.lit(None).cast("string") if feedback is None else feedback}
+    return _explode(docs, key, given, "prompt string", work)
+
+
 def points(docs: DataFrame, proposals: Column, key: str = "doc_id", text: str = "text", kind: Column | None = None, level: int = 2) -> DataFrame:
     """Validated points out of an array of (before_unit, anchor, heading), with the messages of each document."""
 

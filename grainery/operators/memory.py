@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from grainery import schemas
 from grainery.functions import text as X
-from grainery.operators.store import first_error, number, split_rejects
+from grainery.operators.store import first_error, number, positions, split_rejects
 
-#: Rows of the smaller side of a name resolution that may be broadcast.
-BROADCAST_ROWS = 200_000
 GRAM = 3
 
 
@@ -21,28 +19,30 @@ def names(entities: DataFrame) -> DataFrame:
     return each.filter("name IS NOT NULL AND name <> ''").distinct()
 
 
-def resolve(entities: DataFrame, needles: DataFrame, needle: str = "needle") -> DataFrame:
-    """needle, entity_id: entities with a name that contains the needle, or is contained in it; blank ones match nothing.
+def _grams(c: str, size: int) -> Column:
+    """The distinct substrings of a length."""
+    each = F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substr(F.col(c), i, F.lit(size)))
+    return F.when(F.length(c) >= size, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+
+def _contained(short: DataFrame, s: str, long: DataFrame, l: str) -> DataFrame:  # noqa: E741
+    """The pairs in which a long string holds a short one.
 
-    Containment means that the shorter string occurs in the longer one, so
-    both hold the shorter one's first three letters: these are the join key,
-    and no pair without it is formed. Shorter strings are matched by
-    their own letters in the same way, at their own length.
+    A long string that holds a short one holds all its grams, so the short one is looked up under the gram of it
+    that the fewest long strings have: no pair without that gram is formed, and a gram that most have is no join key.
     """
-    left = needles.select(F.col(needle).alias("__needle"), F.lower(X.strip(needle)).alias("n")).filter("n IS NOT NULL AND n <> ''").distinct()
-    right = names(entities)
-    grams = lambda c, size: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substr(F.col(c), i, F.lit(size))))
+    look = long.withColumn("gram", F.explode(F.concat(*(_grams(l, size) for size in range(1, GRAM + 1)))))
+    often = look.groupBy("gram").agg(F.count("*").alias("__n"))
+    keys = short.withColumn("gram", F.explode(F.when(F.length(s) >= GRAM, _grams(s, GRAM)).otherwise(F.array(s))))
+    rarest = keys.join(often, "gram").groupBy(*short.columns).agg(F.min_by("gram", F.struct("__n", "gram")).alias("gram"))
+    return rarest.join(look, "gram").filter(F.contains(F.col(l), F.col(s))).select("__needle", "entity_id")
 
-    def pairs(short: DataFrame, s: str, long: DataFrame, l: str) -> DataFrame:  # noqa: E741
-        found = None
-        for size in range(1, GRAM + 1):
-            key = short.filter(F.length(s) >= size if size == GRAM else F.length(s) == size).withColumn("gram", F.substring(s, 1, size))
-            look = long.filter(F.length(l) >= size).withColumn("gram", F.explode(grams(l, size)))
-            hit = key.join(look, "gram").filter(F.contains(F.col(l), F.col(s))).select("__needle", "entity_id")
-            found = hit if found is None else found.union(hit)
-        return found
 
-    return pairs(left, "n", right, "name").union(pairs(right, "name", left, "n")).distinct().withColumnRenamed("__needle", needle)
+def resolve(entities: DataFrame, needles: DataFrame, needle: str = "needle") -> DataFrame:
+    """needle, entity_id: entities with a name that contains the needle, or is contained in it; blank ones match nothing."""
+    left = needles.select(F.col(needle).alias("__needle"), F.lower(X.strip(needle)).alias("n")).filter("n IS NOT NULL AND n <> ''").distinct()
+    right = names(entities)
+    return _contained(left, "n", right, "name").union(_contained(right, "name", left, "n")).distinct().withColumnRenamed("__needle", needle)
 
 
 def create_entities(batch: DataFrame, entities: DataFrame, order: str = "position") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -98,14 +98,22 @@ def fold_log(log: DataFrame, entities: DataFrame | None = None) -> tuple[DataFra
 
 
 def retired(log: DataFrame) -> DataFrame:
-    """For each replace, how many active rows it retired: those of its key since the replace before it."""
-    facts = log.filter("op <> 'supersede'")
-    span = Window.partitionBy("entity_id", "attribute").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    begin = F.coalesce(F.max(F.when(F.col("op") == "replace", F.col("id"))).over(span), F.lit(-1))
-    place = F.row_number().over(Window.partitionBy("entity_id", "attribute").orderBy("id"))
-    numbered = facts.withColumn("__place", place).withColumn("__begin", begin)
-    spot = F.max(F.when(F.col("op") == "replace", F.col("__place"))).over(Window.partitionBy("entity_id", "attribute").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
-    return numbered.withColumn("__spot", spot).filter("op = 'replace'").select("id", "entity_id", "attribute", (F.col("__place") - F.coalesce("__spot", F.lit(1))).cast("bigint").alias("retired"))
+    """For each replace, how many active rows it retired: those of its key since the replace before it.
+
+    Rows get their positions in the order of key and id; a hot key spans several partitions, each of which
+    knows the replaces inside it, and one row for each key and partition tells the next ones of the last replace.
+    """
+    key = ["entity_id", "attribute"]
+    facts = positions(log.filter("op <> 'supersede'").select(*key, "id", "op"), [*key, "id"])
+    at = F.when(F.col("op") == "replace", F.col("__position"))
+    earlier = Window.unboundedPreceding, -1
+    inside = facts.withColumn("__last", F.max(at).over(Window.partitionBy("__part", *key).orderBy("__position").rowsBetween(*earlier)))
+    parts = facts.groupBy("__part", *key).agg(F.max(at).alias("__last"), F.min("__position").alias("__first"))
+    over = Window.partitionBy(*key).orderBy("__part")
+    parts = parts.select("__part", *(F.col(c).alias(f"__{c}") for c in key), F.max("__last").over(over.rowsBetween(*earlier)).alias("__carried"), F.min("__first").over(over).alias("__first"))
+    replaces = inside.filter("op = 'replace'").withColumnRenamed("__part", "__p")
+    joined = replaces.join(parts, (F.col("__p") == F.col("__part")) & F.col("entity_id").eqNullSafe(F.col("__entity_id")) & F.col("attribute").eqNullSafe(F.col("__attribute")))
+    return joined.select("id", *key, (F.col("__position") - F.coalesce("__last", "__carried", "__first")).cast("bigint").alias("retired"))
 
 
 def get_observations(observations: DataFrame, entity_id: int, attribute: str | None = None, include_superseded: bool = False) -> DataFrame:

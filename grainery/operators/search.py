@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from grainery.functions import text as X
 from grainery.operators import index
+from grainery.sources import providers, shared
 
 # fixed values: BM25's parameters, the floor of a term's weight, the fusion constant
 K1, B, IDF_FLOOR, RRF_K = 1.2, 0.75, 1e-6, 60
@@ -109,18 +110,25 @@ def backend(keyword: DataFrame, vector: DataFrame) -> DataFrame:
 
 
 def neighbours(hits: DataFrame, snippets: DataFrame) -> DataFrame:
-    """hits(document_id, chunk_index, ...) with context_before and context_after: the excerpts at the next indices, never over a gap."""
+    """hits(document_id, chunk_index, ...) with context_before and context_after: the excerpts at the next indices, never over a gap.
+
+    Each excerpt is read once and sent to the places on both sides of it.
+    """
     excerpts = snippets.filter("kind = 'excerpt' AND chunk_index IS NOT NULL").groupBy("document_id", "chunk_index").agg(F.min_by("content", "id").alias("content"))
-    side = lambda by, name: excerpts.select("document_id", (F.col("chunk_index") + by).alias("chunk_index"), F.col("content").alias(name))
-    return hits.join(side(1, "context_before"), ["document_id", "chunk_index"], "left").join(side(-1, "context_after"), ["document_id", "chunk_index"], "left")
+    none = F.lit(None).cast("string")
+    side = lambda by, before, after: F.struct((F.col("chunk_index") + by).alias("chunk_index"), before.alias("context_before"), after.alias("context_after"))
+    sent = excerpts.select("document_id", F.inline(F.array(side(1, F.col("content"), none), side(-1, none, F.col("content")))))
+    beside = sent.groupBy("document_id", "chunk_index").agg(F.max("context_before").alias("context_before"), F.max("context_after").alias("context_after"))
+    return hits.join(beside, ["document_id", "chunk_index"], "left")
 
 
 def results(ranked: DataFrame, snippets: DataFrame, documents: DataFrame) -> DataFrame:
     """ranked(id, score) with snippet, document and context: the search result's columns.
 
-    ranked holds at most `limit` rows: it is broadcast, so neither table is shuffled for the hits.
+    ranked holds at most `limit` rows: it is broadcast, so neither table is shuffled for the hits. The hits are
+    written once; what comes after reads them and, of the snippets, those of their documents.
     """
-    hits = snippets.join(F.broadcast(ranked.select("id", "score")), "id")
+    hits = shared.materialize(snippets.join(F.broadcast(ranked.select("id", "score")), "id").select("id", "document_id", "kind", "content", "chunk_index", "score"), "hits")
     titled = F.broadcast(hits).join(documents.select(F.col("id").alias("document_id"), "title", "url", "ingested_at"), "document_id")
     near = neighbours(titled, snippets.join(F.broadcast(hits.select("document_id").distinct()), "document_id", "left_semi"))
     return near.select(
@@ -129,8 +137,14 @@ def results(ranked: DataFrame, snippets: DataFrame, documents: DataFrame) -> Dat
     )
 
 
+def query_vector(provider, query: str) -> list[float] | None:
+    """The vector of a search string under the instruction for queries; null if the provider gives none, and keywords alone count."""
+    found = providers.embedded(provider, [query], "query")
+    return None if found is None else found[0]
+
+
 def hybrid(snippets: DataFrame, documents: DataFrame, query: str, vector: list[float] | None, limit: int = 10, terms: list[str] | None = None, model: str | None = None, strict: bool = False) -> DataFrame:
-    """Search by words and by meaning; either side may be empty."""
+    """Search by words and by meaning; either side may be empty, and without a vector only the words count."""
     if not query.strip():
         raise ValueError("empty query")
     pool = pool_size(limit)

@@ -27,23 +27,27 @@ def first_error(*checks: tuple[Column, str]) -> Column:
     return F.coalesce(*(F.when(bad, F.lit(why)) for bad, why in checks))
 
 
-def number(rows: DataFrame, table: DataFrame, order: list[str]) -> DataFrame:
-    """Give ids after the table's greatest one, in the order given.
+def positions(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with __part and __position: the partition of a row in a global order, and its dense place in it from 1.
 
     No single-task sort: rows are range-partitioned by the order, and each gets its
     partition and its place there. They are written to the shared folder at once, as
     adaptive execution may cut the partitions anew in every run of a plan; counts by
-    partition and numbers are then read from what was written.
+    partition and positions are then read from what was written.
     """
-    greatest = table.agg(F.max("id")).first()[0] or 0
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = shared.materialize(ordered.withColumn("__place", F.monotonically_increasing_id()), "numbered")  # the partition above 33 bits of place
-    part = F.shiftright("__place", 33)
-    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    placed = placed.withColumn("__part", F.shiftright("__place", 33))
+    counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    numbered = placed.withColumn("__part", part).join(F.broadcast(before), "__part")  # one row for each partition of the shuffle
-    local = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return numbered.withColumn("id", F.lit(int(greatest)) + F.col("__before") + local).drop("__part", "__place", "__before")
+    numbered = placed.join(F.broadcast(before), "__part")  # one row for each partition of the shuffle
+    return numbered.withColumn("__position", F.col("__before") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__place", "__before")
+
+
+def number(rows: DataFrame, table: DataFrame, order: list[str]) -> DataFrame:
+    """Give ids after the table's greatest one, in the order given."""
+    greatest = table.agg(F.max("id")).first()[0] or 0
+    return positions(rows, order).withColumn("id", F.lit(int(greatest)) + F.col("__position")).drop("__part", "__position")
 
 
 def capture(batch: DataFrame, documents: DataFrame, order: str = "arrival") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -3,22 +3,34 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
+import os
+import urllib.error
+import urllib.request
 from dataclasses import dataclass, field
 
-# fixed values: the vector width and the two instructions before a text
-WIDTH = 768
+# fixed values: the vector width, texts of one request, and the two instructions before a text
+WIDTH, BATCH = 768, 64
 PREFIXES = {"document": "title: none | text: ", "query": "task: search result | query: "}
 
+#: Seconds that a model server may take, and characters of its answer that an error quotes.
+PATIENCE, QUOTED = 180, 500
+
+
+class Failed(Exception):
+    """Why a provider gave no vectors."""
+
 
 @dataclass(frozen=True)
 class Off:
     """No vectors: search goes by keywords, snippets keep null vectors."""
 
     model: str = "off"
+    width: int = WIDTH
 
-    def embed(self, texts: list[str], kind: str = "document") -> None:
-        return None
+    def vectors(self, texts: list[str]) -> list[list[float]]:
+        raise Failed("embedding is off")
 
 
 @dataclass(frozen=True)
@@ -28,9 +40,7 @@ class Hashed:
     width: int = WIDTH
     model: str = "hashed-words"
 
-    def embed(self, texts: list[str], kind: str = "document") -> list[list[float]] | None:
-        if kind not in PREFIXES or any(not (t or "").strip() for t in texts):
-            return None
+    def vectors(self, texts: list[str]) -> list[list[float]]:
         return [self._one(t) for t in texts]
 
     def _one(self, text: str) -> list[float]:
@@ -42,9 +52,82 @@ class Hashed:
         return [x / size for x in out] if size else out
 
 
-def checked(vectors: list | None, texts: list[str], width: int) -> list | None:
+@dataclass(frozen=True)
+class Server:
+    """Vectors of a model server: one POST of {model, input} for each request, answered by {embeddings}."""
+
+    url: str
+    model: str
+    width: int = WIDTH
+
+    def vectors(self, texts: list[str]) -> list[list[float]]:
+        body = json.dumps({"model": self.model, "input": texts}).encode()
+        asked = urllib.request.Request(self.url, body, {"Content-Type": "application/json"})  # noqa: S310
+        try:
+            with urllib.request.urlopen(asked, timeout=PATIENCE) as answer:  # noqa: S310
+                return json.load(answer)["embeddings"]
+        except urllib.error.HTTPError as error:
+            raise Failed(f"the model server answered {error.code}: {error.read().decode(errors='replace')[:QUOTED]}") from error
+        except urllib.error.URLError as error:
+            raise Failed(f"no model server at {self.url}: {error.reason}") from error
+        except (ValueError, KeyError, TypeError) as error:
+            raise Failed(f"the model server's answer has no vectors: {error}") from error
+
+
+def provider(name: str | None, url: str = "", model: str = "") -> Off | Hashed | Server:
+    """The provider of a setting: `off`, `hashed` or `server`."""
+    match name:
+        case None | "off":
+            return Off()
+        case "hashed":
+            return Hashed()
+        case "server":
+            return Server(url, model)
+    raise Failed(f"unknown provider {name!r}")
+
+
+def checked(vectors: list, texts: list[str], width: int) -> list:
     """Vectors only if there is one of the right width for each text."""
-    return vectors if vectors is not None and len(vectors) == len(texts) and all(len(v) == width for v in vectors) else None
+    if len(vectors) != len(texts):
+        raise Failed(f"{len(vectors)} vectors for {len(texts)} texts")
+    for v in vectors:
+        if len(v) != width:
+            raise Failed(f"a vector of width {len(v)} in place of {width}")
+    return vectors
+
+
+def embed(source, texts: list[str], kind: str = "document") -> dict:
+    """ok, vectors and model, or ok and error: texts with the instruction of their kind before them, a request at a time."""
+    try:
+        if not texts:
+            raise Failed("no texts")
+        if kind not in PREFIXES:
+            raise Failed(f"unknown kind of text {kind!r}")
+        found: list = []
+        for lo in range(0, len(texts), BATCH):
+            found += source.vectors([PREFIXES[kind] + (t or "") for t in texts[lo : lo + BATCH]])
+        return {"ok": True, "vectors": checked(found, texts, source.width), "model": source.model}
+    except Failed as why:
+        return {"ok": False, "error": str(why), "model": source.model}
+
+
+def embedded(source, texts: list[str], kind: str = "document") -> list | None:
+    """The vectors, or null if anything went wrong: a row is written without one and filled in later."""
+    try:
+        return embed(source, texts, kind).get("vectors")
+    except Exception:  # noqa: BLE001  a provider is foreign code
+        return None
+
+
+def read_settings(path: str) -> dict[str, str]:
+    """NAME=value lines of a file, unquoted, under the exported values, which win; other lines and a missing file count for nothing."""
+    found: dict[str, str] = {}
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as lines:
+            for name, equals, value in (x.strip().partition("=") for x in lines):
+                if equals and name and not name.startswith("#"):
+                    found[name.strip()] = value.strip().strip("\"").strip("'")
+    return found | {k: v for k, v in os.environ.items() if k in found}
 
 
 @dataclass

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from grainery.plans import catalogue
+from grainery.plans import catalogue, registry
 
 
 def plain(v):
@@ -24,10 +24,10 @@ def db(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, sf_dir, db, name):
-    got = catalogue.QUERIES[name](spark, sf_dir).toArrow()
-    want = db.sql(catalogue.ORACLE_SQL[name]).to_arrow_table()
+    got = registry.QUERIES[name](spark, sf_dir).toArrow()
+    want = db.sql(registry.ORACLE_SQL[name]).to_arrow_table()
     columns = sorted(got.column_names)
     assert columns == sorted(want.column_names)
     rows = lambda t: sorted((tuple(plain(r[c]) for c in columns) for r in t.to_pylist()), key=repr)
@@ -37,14 +37,14 @@ def test_query(spark, sf_dir, db, name):
 def test_entry_points(spark):
     import __spark_entry__ as e
 
-    assert set(catalogue.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+    assert set(registry.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
 
 
 def test_every_snippet_is_expanded(spark, sf_dir):
     rows = {r.id: r for r in catalogue._snippets(spark, sf_dir).collect()}
     at = {(r.document_id, r.chunk_index): r.content for r in rows.values() if r.kind == "excerpt"}
-    got = catalogue.QUERIES["neighbour_expansion"](spark, sf_dir).collect()
+    got = registry.QUERIES["neighbour_expansion"](spark, sf_dir).collect()
     assert sorted(r.id for r in got) == sorted(rows) and {r.document_id % 10 for r in got} == set(range(10))
     for r in got:
         near = (None, None) if r.chunk_index is None else (at.get((r.document_id, r.chunk_index - 1)), at.get((r.document_id, r.chunk_index + 1)))
@@ -59,7 +59,7 @@ def test_every_customer_is_resolved(spark):
     for c in spark.read.parquet(f"{d}/customer.parquet").collect():
         needle = f"{c.c_name} of NATION_{c.c_nationkey % 30}"
         want |= {(needle, i) for i, x in names if x in needle.lower() or needle.lower() in x}
-    got = {(r.needle, r.entity_id) for r in catalogue.QUERIES["entity_resolve"](spark, d).collect()}
+    got = {(r.needle, r.entity_id) for r in registry.QUERIES["entity_resolve"](spark, d).collect()}
     assert {x for x in got if " of NATION_" in x[0]} == want and len({x for x, _ in want}) > 200
 
 
@@ -67,6 +67,6 @@ def test_every_word_is_captioned(spark, sf_dir):
     words, seen = {}, {}
     for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect():
         words.setdefault(r.conv_id, set()).update(r.text.split())
-    for r in catalogue.QUERIES["caption_dedupe"](spark, sf_dir).collect():
+    for r in registry.QUERIES["caption_dedupe"](spark, sf_dir).collect():
         seen.setdefault(r.conv_id, set()).update(r.text.split())
     assert seen == words

@@ -106,7 +106,63 @@ def test_vectors(spark):
     assert tuple(counts.first()) == (2, 2, 2) and {r.embedding_model for r in table.collect()} == {"a"}
     back = rows.select(files.unpack_vectors(files.pack_vectors("embedding"))).collect()
     assert [r[0] for r in back] == [r.embedding for r in rows.collect()]
-    assert providers.Off().embed(["x"]) is None and providers.Hashed(4).embed([""]) is None and providers.checked([[1.0]], ["a"], 2) is None
+    assert counts.count() == 1 and [r[0] for r in rows.limit(0).select(files.unpack_vectors(files.pack_vectors("embedding"))).collect()] == []
+
+
+def odd_provider():
+    class Odd:
+        """A provider that records its texts, fails on some, and gives too narrow vectors for others."""
+
+        model, width = "odd", 2
+
+        def vectors(self, texts):
+            if any("boom" in t for t in texts):
+                raise RuntimeError("boom")
+            return [[1.0] if "narrow" in t else [float(len(t)), 0.0] for t in texts]
+
+    return Odd()
+
+
+def test_providers(spark, tmp_path):
+    odd = odd_provider()
+    assert providers.embed(odd, ["a"], "query")["vectors"] == [[float(len("task: search result | query: a")), 0.0]]
+    assert [providers.embed(*x)["error"] for x in ((odd, []), (odd, ["a"], "other"), (odd, ["narrow"]), (providers.Off(), ["a"]))] == ["no texts", "unknown kind of text 'other'", "a vector of width 1 in place of 2", "embedding is off"]
+    assert providers.embedded(odd, ["boom"]) is None and providers.embedded(providers.Hashed(4), ["x"])[0] != providers.embedded(providers.Hashed(4), ["x"], "query")[0]
+    assert "no model server" in providers.embed(providers.Server("http://127.0.0.1:9/none", "m"), ["a"])["error"]
+    rows = spark.createDataFrame([(i, "boom" if i == 70 else "narrow" if i == 140 else "x") for i in range(200)], "id int, content string").coalesce(1)
+    found = {r.id: (r.embedding, r.embedding_model) for r in files.embed_rows(rows, odd).collect()}
+    assert all(found[i] == ((None, None) if 64 <= i < 192 else ([float(len("title: none | text: x")), 0.0], "odd")) for i in range(200))
+    (tmp_path / ".env").write_text("A_SETTING = 'x=1'\n# B=2\nnothing\nHOME=/nowhere\n")
+    import os
+
+    assert providers.read_settings(str(tmp_path / ".env")) == {"A_SETTING": "x=1", "HOME": os.environ["HOME"]} and providers.read_settings(str(tmp_path / "no")) == {}
+    with pytest.raises(providers.Failed):
+        providers.provider("odd")
+
+
+def test_model_server():
+    import http.server
+    import json
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append(len(asked["input"]))
+            self.send_response(500 if asked["model"] == "bad" else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({} if asked["model"] == "none" else {"embeddings": [[float(len(t))] * 3 for t in asked["input"]]}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    seen: list = []
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    make = lambda model: providers.Server(f"http://127.0.0.1:{server.server_port}/", model, 3)
+    assert providers.embed(make("m"), ["a"] * 130)["vectors"] == [[21.0] * 3] * 130 and seen == [64, 64, 2]
+    assert "answered 500" in providers.embed(make("bad"), ["a"])["error"] and "no vectors" in providers.embed(make("none"), ["a"])["error"]
+    server.shutdown()
 
 
 def test_capture(spark):
@@ -189,6 +245,9 @@ def test_evaluation(spark):
 def test_store_files(spark, tmp_path):
     tables = schemas.create_store(spark, str(tmp_path / "s"))
     assert schemas.create_store(spark, str(tmp_path / "s"))["documents"].columns == tables["documents"].columns == schemas.DOCUMENTS.fieldNames()
+    many = spark.createDataFrame([("v1", "a\nb"), ("v2", "c\n\n"), ("v3", "")], "video_id string, text string")
+    files.write_each(many, str(tmp_path / "each"))
+    assert {r.video_id: r.text for r in files.read_each(spark, str(tmp_path / "each")).collect()} == {"v1": "a\nb\n", "v2": "c\n", "v3": "\n"}
     files.write_texts(spark.createDataFrame([("a\nb\n",)], "text string"), str(tmp_path / "t"))
     assert files.read_texts(spark, str(tmp_path / "t" / "*.txt")).first().text == "a\nb\n"
     assert files.read_texts(spark, str(tmp_path / "none")).first().error == "no such file"
@@ -205,6 +264,50 @@ def test_postings(spark, tmp_path):
     assert index.statistics(rows).first().n == 5
 
 
+def test_stored_documents_are_chunked(spark):
+    docs = spark.createDataFrame([(1, "url", "T", "One. Two.", '{"author":"A"}'), (2, "transcript", "V", "[00:01] a\n[00:05] b", None), (3, "transcript", "V", "[00:01] a\n[00:05] b", '{"author":"C","video":{"chapters":[{"title":"Ch","start":4}]}}')], "id long, source_type string, title string, raw_text string, source_metadata string")
+    found, sums = chunking.stored(docs, spark.createDataFrame([(1,), (2,), (3,), (9,)], "id long"))
+    assert sorted((r.document_id, r.prefix) for r in found.collect()) == [(1, "T"), (3, "V — C [00:01–00:01]"), (3, "V — C [00:05–00:05] > Ch")]
+    by = {r.document_id: r for r in sums.collect()}
+    assert by[1].ok and by[3].chapters_used and by[2].error == "chapters were never recorded for this transcript" and by[9].error == "no such document" and not by[9].ok
+    assert chunking.stored(docs)[1].count() == 3
+
+
+def test_captured_captions(spark):
+    kind = "video_id string, position int, start double, duration double, timestamp string, text string"
+    primary = spark.createDataFrame([("v", 0, 0.0, 2.0, "00:00", "a\n b"), ("v", 1, 2.0, 2.0, "00:02", "a b c")], kind)
+    fallback = spark.createDataFrame([("v", 0, 0.0, 1.0, "00:00", "no"), ("w", 0, 1.0, 1.0, "00:01", "x")], kind)
+    output = spark.createDataFrame([("v", '{"title":"T","channel":"C","duration":65,"chapters":[]}')], "video_id string, output string")
+    by = {r.video_id: r for r in captions.captured(primary, fallback, output).collect()}
+    assert (by["v"].origin, by["v"].text, by["v"].n_segments, by["v"].title) == ("api", "[00:00] a b c", 1, "T") and by["v"].source_metadata == '{"author":"C","video":{"video_id":"v","duration":"1:05","chapters":[]}}'
+    assert (by["w"].origin, by["w"].text, by["w"].title) == ("files", "[00:01] x", "") and "chapters" not in by["w"].source_metadata
+
+
+def test_run_report(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "One here. Two here. Three."), (2, "Alone.")], "doc_id long, text string")
+    p = F.when(F.col("doc_id") == 1, F.array(*(F.struct(F.lit(i).alias("before_unit"), F.lit("").alias("anchor"), F.lit(h).alias("heading")) for i, h in ((0, "A"), (1, "B")))))
+    scored = evaluation.score_run(docs, p, providers.ScriptedJudge({"A": 4.0, "B": 1.0}))
+    by = {r.doc_id: r for r in scored.collect()}
+    assert (by[1].doc_average, by[1].n_scored, by[2].doc_average, by[2].n_scored) == (2.5, 2, None, 0) and "| 0 | A | 4.0 | scripted |" in by[1].section and "nothing to grade" in by[2].section
+    text = evaluation.report(scored, "r1").orderBy("part", "doc_id").select("text")
+    for _ in range(2):
+        files.write_texts(text.coalesce(1), str(tmp_path / "r"))
+    got = [r[0] for r in spark.read.text(str(tmp_path / "r")).collect()]
+    assert got.count("# Run r1") == 2 and got.count("mean score: 2.5") == 4 and "2 headings graded in 2 documents" in got
+
+
+def test_prompts_and_renderings(spark):
+    talk = spark.createDataFrame([(1, "[00:01] a\n[00:05] b")], "doc_id long, text string")
+    chapters = F.expr("array(named_struct('title', 'Ch', 'start', 4D, 'end', 9D))")
+    assert chunking.prompts(talk, "base", "more", kind=F.lit("transcript"), chapters=chapters, feedback=F.lit("bad")).first().prompt == "base\n\nmore\n\nCh: units 1-1, 9 characters\n\nThe last answer had these faults: bad"
+    assert chunking.rendered(talk, kind=F.lit("transcript")).first().rendered == "[0] [00:01] a\n\n\n[1] [00:05] b"
+    points = F.array(F.struct(F.lit(1).alias("before_unit"), F.lit("b").alias("anchor"), F.lit("H").alias("heading")))
+    assert chunking.rendered(talk, points, kind=F.lit("transcript")).first().rendered == "[00:01] a\n\n\n## H\n<!-- anchor: b -->\n\n[00:05] b"
+    head = spark.createDataFrame([(1, "---\na: b: c\nno\n---\nbody")], "doc_id long, text string")
+    row = chunking.front_matter(head).first()
+    assert row.pairs == {"a": "b: c"} and row.body_start == 19
+
+
 def test_candidates(spark):
     docs = spark.createDataFrame([(1, "One | two. Three.")], "doc_id long, text string")
     table = chunking.candidate_table(chunking.chunks(docs, title=F.lit("a|b"))).first().table
