@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ from grainery.llm import common, splicing
 
 #: Words whose ids a Python worker remembers, bytes of the words in one recursive query, and of a chunk and its overlap in a longer word.
 MEMORY_WORDS, QUERY_BYTES, CHUNK, OVERLAP = 400_000, 1 << 18, 64, 32
+#: Words that are looked up at once, and ids that are decoded at once.
+WORDS, DECODED = 1 << 18, 1 << 18
 
 _MERGE = """
 WITH RECURSIVE step USING KEY (word) AS (
@@ -59,7 +62,7 @@ class Coder:
         import regex
 
         # the ranks' library reads \s as the White_Space property
-        self.find = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
+        self.pattern = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}"))
         self.ranks, self.entries = read_ranks(path), entries
         left, right, rank = [], [], []
         for token, r in self.ranks.items():
@@ -141,16 +144,29 @@ class Coder:
         return long
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, and each text's place among them (rows + 1)."""
+        """The ids of all texts, and each text's place among them (rows + 1), so many words at a time."""
+        ids, sizes = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64)
+        words, owners = [], []
+        for i, text in enumerate(texts):
+            found = iter(self.pattern.findall(text)) if len(text) <= WORDS else (m[0] for m in self.pattern.finditer(text))
+            while some := list(itertools.islice(found, WORDS - len(words))):
+                words += some
+                owners.append((i, len(some)))
+                if len(words) >= WORDS:
+                    ids.append(self._ids(words, owners, sizes))
+                    words, owners = [], []
+        ids.append(self._ids(words, owners, sizes))
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(sizes)])
+
+    def _ids(self, words: list[str], owners: list[tuple[int, int]], sizes: np.ndarray) -> np.ndarray:
+        """The ids of words of texts (number of the text, number of words); adds them up in sizes."""
+        if not words:
+            return np.zeros(0, np.uint32)
         if len(self.known) > self.entries:
             self.clear()
-        found = [self.find(t) for t in texts]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        coded = pa.array([w for f in found for w in f], pa.string()).dictionary_encode()
+        coded = pa.array(words, pa.string()).dictionary_encode()
         kinds = common.strings(coded.dictionary)
         long = self.learn([w for w in kinds if w not in self.known])
-        if not kinds:
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         each = [self.known[w] if w in self.known else long[w] for w in kinds]
         lengths = np.fromiter(map(len, each), np.int64, len(each))
         store, start = np.concatenate(each), np.cumsum(lengths) - lengths
@@ -159,20 +175,23 @@ class Coder:
         ends = np.cumsum(n)
         at = np.repeat(start[codes] - (ends - n), n)
         at += np.arange(len(at))
-        return store[at], np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+        text, count = np.array(owners, np.int64).T
+        np.add.at(sizes, text, np.add.reduceat(n, np.cumsum(count) - count))
+        return store[at]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        """The bytes of each text's ids."""
-        n = len(offsets) - 1
-        rows = pa.table({"text": np.repeat(np.arange(n), np.diff(offsets)), "place": np.arange(len(ids)), "token": ids.astype(np.int32)})
-        out = self._rows("SELECT text, list(bytes ORDER BY place) AS parts FROM rows JOIN vocabulary USING (token) GROUP BY text", rows=rows)
-        parts = out.column("parts").combine_chunks()
-        found = [b""] * n
-        cut = parts.offsets.to_numpy()
-        data, off = _binary(parts.values)
-        for k, text in enumerate(out.column("text").to_pylist()):
-            found[text] = data[off[cut[k]] : off[cut[k + 1]]]
-        return found
+        """The bytes of each text's ids, so many at a time: parts of a longer text are joined in order."""
+        owner, found = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), [[] for _ in offsets[1:]]
+        for lo in range(0, len(ids), DECODED):
+            some, texts = ids[lo : lo + DECODED].astype(np.int32), owner[lo : lo + DECODED]
+            rows = pa.table({"text": texts, "place": np.arange(len(some)), "token": some})
+            out = self._rows("SELECT text, list(bytes ORDER BY place) AS parts FROM rows JOIN vocabulary USING (token) GROUP BY text", rows=rows)
+            parts = out.column("parts").combine_chunks()
+            cut = parts.offsets.to_numpy()
+            data, off = _binary(parts.values)
+            for k, text in enumerate(out.column("text").to_pylist()):
+                found[text].append(data[off[cut[k]] : off[cut[k + 1]]])
+        return [b"".join(parts) for parts in found]
 
 
 def _binary(arr: pa.Array) -> tuple[bytes, np.ndarray]:
