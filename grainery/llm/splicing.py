@@ -58,7 +58,7 @@ def splice(left: Piece, right: Piece, edge: int, allowed: Callable[[int], bool])
 def joined(size: int, chunk: int, overlap: int, edge: int, encode: Callable[[list[tuple[int, int]]], list[Piece]], allowed: Callable[[int], bool] = lambda place: True, several: int = 1) -> Iterator[np.ndarray]:
     """The ids of a whole text of a size, bit by bit, from encodings of overlapping pieces.
 
-    encode gives the pieces at some places. Up to `several` are encoded at once, the first of them from a boundary
+    encode gives the pieces at some places or a little around them. Up to `several` are encoded at once, the first of them from a boundary
     of the piece before. Where no boundary is common, the left piece and the overlap are doubled, so a
     text that has none takes at most a few times its own encoding. What is proven is not encoded again.
     """
@@ -68,7 +68,7 @@ def joined(size: int, chunk: int, overlap: int, edge: int, encode: Callable[[lis
         begin = left.boundary(left.hi - wide)
         step = max(chunk, wide)
         places = [begin + step * k for k in range(many)]
-        for right in encode([(a, min(size, a + step + wide)) for a in places if a == begin or a + overlap < size]):
+        for k, right in enumerate(encode([(a, min(size, a + step + wide)) for a in places if a == begin or a + overlap < size])):
             found = splice(left, right, edge, allowed)
             if found is not None and found[0] < first:
                 found = None
@@ -86,7 +86,7 @@ def joined(size: int, chunk: int, overlap: int, edge: int, encode: Callable[[lis
         if found is not None:
             continue
         many = 1
-        if right.lo == begin:  # not even a piece that starts at a boundary meets the left one
+        if not k:  # not even a piece that starts at a boundary meets the left one
             wide = 2 * max(wide, overlap)
             left = encode([(left.lo, min(size, left.hi + max(left.hi - left.lo, wide)))])[0]
             if start is not None:  # the place where this piece took over must have stayed

@@ -1,12 +1,12 @@
 """Token counts by overlap resynchronisation.
 
 Texts up to a chunk are counted whole. A longer text is encoded in
-overlapping chunks with offsets. Two neighbours are spliced at a boundary that
+overlapping chunks; the bytes that each id stands for give the tokens' offsets. Two neighbours are spliced at a boundary that
 both encodings hold, with the same token after it, beyond the reach of either chunk's
 edge (see `splicing` for the proof). Inside a chunk's first match the pre-tokenizer may
 be out of step; it is in step again at the end of that run of letters, digits, other characters or
-white space, and both chunks see the same end. Not used are places inside white space and those
-up to three characters after an apostrophe, where a match may end inside a run.
+white space, and both chunks see the same end. Not used are places inside a character or white space and those
+soon after an apostrophe, where a match may end inside a run.
 A chunk starts at a token boundary of the one before it. Where the overlap
 holds no such place it is doubled, and so is the left chunk, so no text takes more than
 a few times its own encoding.
@@ -18,7 +18,7 @@ are counted alike; an empty table gives an empty result; other columns are ignor
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,31 +27,41 @@ from pyspark.sql import DataFrame
 
 from grainery.llm import common, splicing, tokenizing
 
-#: Code points of a chunk, of the first overlap, and kept off a chunk's edges:
+#: Bytes of a chunk, of the first overlap, and kept off a chunk's edges:
 #: more than an added token's length and the pattern's look-ahead.
 CHUNK, OVERLAP, EDGE = 16_384, 256, 32
 
 
-def _encoded(tokenizer, text: str, lo: int, hi: int) -> splicing.Piece:
-    coded = tokenizer.encode(text[lo:hi], add_special_tokens=False)
-    offsets = np.array(coded.offsets, np.int64).reshape(-1, 2) + lo
-    return splicing.Piece(lo, hi, np.array(coded.ids, np.uint32), offsets[:, 0], offsets[:, 1])
-
-
-def _stable(text: str, place: int) -> bool:
+def _stable(raw: bytes, place: int) -> bool:
     """Whether a common token boundary at a place is proven to be one of the whole text."""
-    if text[place].isspace():
-        return not text[place - 1].isspace()
-    return "'" not in text[max(0, place - 3) : place]
-
+    if raw[place] & 0xC0 == 0x80:
+        return False
+    now, before = raw[place : place + 4].decode(errors="ignore")[:1], raw[max(0, place - 4) : place].decode(errors="ignore")[-1:]
+    return not (now.isspace() and before.isspace()) and b"'" not in raw[max(0, place - 12) : place]
+
+
+def count_long(text: str, tokenizer, chunk: int = CHUNK, overlap: int = OVERLAP, edge: int = EDGE, encode: Callable[[str], np.ndarray] | None = None, sizes: np.ndarray | None = None) -> int:
+    """The number of ids of a text, chunk by chunk; encode and sizes stand for the tokenizer's own encoding and its ids' bytes."""
+    raw = text.encode()
+    encode = encode or (lambda part: np.array(tokenizer.encode(part, add_special_tokens=False).ids, np.uint32))
+    sizes = tokenizing.token_bytes(tokenizer) if sizes is None else sizes
+
+    def pieces(places: list[tuple[int, int]]) -> Iterator[splicing.Piece]:
+        for lo, hi in places:
+            while lo > 0 and raw[lo] & 0xC0 == 0x80:
+                lo -= 1
+            while hi < len(raw) and raw[hi] & 0xC0 == 0x80:
+                hi += 1
+            ids = encode(raw[lo:hi].decode())
+            ends = lo + np.cumsum(sizes[ids])
+            if hi > lo and (not len(ids) or ends[-1] != hi):
+                raise splicing.Unstable
+            yield splicing.Piece(lo, hi, ids, ends - sizes[ids], ends)
 
-def count_long(text: str, tokenizer, chunk: int = CHUNK, overlap: int = OVERLAP, edge: int = EDGE) -> int:
-    """The number of ids of a text, chunk by chunk."""
-    encode = lambda places: [_encoded(tokenizer, text, lo, hi) for lo, hi in places]
     try:
-        return sum(len(ids) for ids in splicing.joined(len(text), chunk, overlap, edge, encode, functools.partial(_stable, text)))
+        return sum(len(ids) for ids in splicing.joined(len(raw), chunk, overlap, edge, lambda places: list(pieces(places)), functools.partial(_stable, raw)))
     except splicing.Unstable:
-        return len(tokenizer.encode(text, add_special_tokens=False).ids)
+        return len(encode(text))
 
 
 @common.tidy
@@ -61,11 +71,11 @@ def _count(batches: Iterator[pa.RecordBatch], path: str, limit: int, chunk: int)
         for part in common.slices(batch):
             texts = pc.fill_null(part.column("text"), "")
             sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-            long = pc.greater(pc.utf8_length(texts), chunk)
+            long = pa.array(sizes > chunk)
             counts = enc.lengths(pc.if_else(long, "", texts) if enc.safe else texts)
             if enc.safe:
                 for i in np.flatnonzero(long.to_numpy(zero_copy_only=False)).tolist():
-                    counts[i] = count_long(texts[i].as_py(), enc.tokenizer, chunk)
+                    counts[i] = count_long(texts[i].as_py(), enc.tokenizer, chunk, encode=lambda part: enc.encode(pa.array([part]))[0], sizes=enc.sizes)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(counts > limit)],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
