@@ -14,8 +14,10 @@ untouched, and the ledger's own columns are only those listed in MEASURES and `b
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import AnyStr
 
 import numpy as np
 import pyarrow as pa
@@ -27,46 +29,73 @@ from grainery.llm import common
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks")
 SYMBOLS, SPACES, WINDOW = "#*$%&|<>", " \t\n\x0b\x0c\r", 8
+_SPACE, _LINE_END = re.compile(rb"[ \t\n\x0b\x0c\r]"), re.compile(rb"\n")
 _UPPER, _LETTERS = bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123)])
 
 
-def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
+#: Characters of a text that are cut into words at once.
+PIECE = 1 << 20
+
+
+def pieces(text: AnyStr, gap: re.Pattern[AnyStr]) -> Iterator[AnyStr]:
+    """A text cut before gaps into pieces of about PIECE characters: a long text is never a list of all its words."""
+    lo = 0
+    while lo < len(text):
+        found = gap.search(text, lo + PIECE)
+        hi = found.start() if found else len(text)
+        yield text[lo:hi]
+        lo = hi
+
+
+def _numbered(parts: Iterable[list[bytes]]) -> tuple[np.ndarray, int]:
+    """Each word's number among the different words, and how many these are."""
+    seen: dict[bytes, int] = {}
+    ids = [np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words)) for words in parts]
+    return np.concatenate([*ids, np.zeros(0, np.int64)]), len(seen)
+
+
+def _repeated(ids: np.ndarray, kinds: int, window: int = WINDOW) -> int:
     """Words that lie in a window of `window` words found twice or more (a power of two).
 
     Windows get exact identities by doubling: pairs of words, of pairs, and so on.
     """
-    if len(words) <= window:
-        return 0
-    seen: dict[bytes, int] = {}
-    ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
-    if len(seen) == len(words):
+    n = len(ids)
+    if n <= window or kinds == n:
         return 0
     width = 1
     while width < window:
         pairs = ids[:-width] * (int(ids.max()) + 1) + ids[width:]
-        kinds, ids, counts = np.unique(pairs, return_inverse=True, return_counts=True)
-        if len(kinds) == len(pairs):
+        found, ids, counts = np.unique(pairs, return_inverse=True, return_counts=True)
+        if len(found) == len(pairs):
             return 0
         width *= 2
-    edge = np.zeros(len(words) + 1, np.int64)
+    edge = np.zeros(n + 1, np.int64)
     twice = np.flatnonzero(counts[ids] > 1)
     np.add.at(edge, twice, 1)
     np.add.at(edge, twice + window, -1)
     return int((np.cumsum(edge) > 0).sum())
 
 
+def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
+    return _repeated(*_numbered([words]), window)
+
+
 def measure_text(text: str) -> tuple[int, ...]:
     """The measurements of one text, in the order of MEASURES."""
     raw = text.encode("utf-8", "surrogatepass")
-    words = raw.split()
-    lines = [line for line in raw.split(b"\n") if line.strip()]
+    ids, kinds = _numbered(part.split() for part in pieces(raw, _SPACE))
+    n_lines, lines = 0, set()
+    for part in pieces(raw, _LINE_END):
+        found = [line for line in part.split(b"\n") if line.strip()]
+        n_lines += len(found)
+        lines.update(found)
     return (
-        len(words),
+        len(ids),
         len(text) - sum(text.count(c) for c in SPACES),
         sum(text.count(c) for c in SYMBOLS),
-        len(lines) - len(set(lines)),
-        repeated_words(words),
-        len(lines),
+        n_lines - len(lines),
+        _repeated(ids, kinds),
+        n_lines,
         len(raw) - len(raw.translate(None, _UPPER)),
         len(raw) - len(raw.translate(None, _LETTERS)),
         text.count("!"),

@@ -37,7 +37,7 @@ STATISTICS = (
     "log_words", "word_length", "symbol_rate", "mark_rate", "upper_rate", "digit_rate", "repeat_rate",
     "dup_line_rate", "distinct_rate", "top_word_rate", "full_stop_rate", "line_words", "comma_rate",
 )
-_DIGITS = re.compile(r"[0-9]")
+_GAP = re.compile(r"\s")
 
 
 def statistics(text: str) -> tuple[float, ...]:
@@ -45,13 +45,13 @@ def statistics(text: str) -> tuple[float, ...]:
     n, chars, symbols, dup, repeats, lines, upper, letters, marks = quality_rules.measure_text(text)
     if not n:
         return (0.0,) * len(STATISTICS)
-    words = text.lower().split()
     counts: dict[str, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    m = max(1, len(words))
+    for part in quality_rules.pieces(text.lower(), _GAP):
+        for w in part.split():
+            counts[w] = counts.get(w, 0) + 1
+    m = max(1, sum(counts.values()))
     return (
-        float(np.log1p(n)), chars / n, symbols / n, marks / n, upper / max(1, letters), len(_DIGITS.findall(text)) / max(1, chars), repeats / n,
+        float(np.log1p(n)), chars / n, symbols / n, marks / n, upper / max(1, letters), sum(map(text.count, "0123456789")) / max(1, chars), repeats / n,
         dup / max(1, lines), len(counts) / m, max(counts.values(), default=0) / m, text.count(".") / n, n / max(1, lines), text.count(",") / n,
     )
 
