@@ -52,8 +52,8 @@ from grainery.llm.components import components
 WORDS, PERCENT = 5, 80
 #: The share of a set's size that linking samples have in common; index entries of a task; shingles in a block; pivots of a large group.
 SHARE, INDEX_ENTRIES, BLOCK, PIVOTS = 0.15, 1 << 20, 1 << 20, 16
-#: Bytes of text hashed at once.
-HASHED_BYTES = 1 << 20
+#: Bytes of texts hashed at once, and values of a longer text.
+HASHED_BYTES, SEGMENT = 1 << 20, 1 << 20
 #: DivideSkip's weight of a merge step against a probe; long lists probed at once; documents of a group that are searched first.
 MU, PROBED, SEEDS = 0.01, 32, 4
 
@@ -86,12 +86,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _spans(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, base: int) -> np.ndarray:
-    """A polynomial hash of values[lo:hi] for each pair."""
-    up, down = _powers(base, len(values))
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], dtype=np.uint64, out=total[1:])
-    return _mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+def _spans(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, base: int, table: np.ndarray | None = None) -> np.ndarray:
+    """A polynomial hash of values[lo:hi] (or table[values[lo:hi]]) for each of many spans in order, a segment at a time."""
+    sums = np.zeros(len(lo), np.uint64)
+    for begin in range(0, len(values), SEGMENT):
+        part = values[begin : begin + SEGMENT]
+        part = part if table is None else table[part]
+        up, down = _powers(base, len(part))
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up[: len(part)], dtype=np.uint64, out=total[1:])
+        a, b = np.searchsorted(hi, begin, "right"), np.searchsorted(lo, begin + len(part))
+        x, y = np.maximum(lo[a:b], begin) - begin, np.minimum(hi[a:b], begin + len(part)) - begin
+        found = (total[y] - total[x]) * down[x]
+        if a < b and lo[a] < begin:  # a span that began in a segment before
+            found[:1] *= np.uint64(pow(base, begin - int(lo[a]), 1 << 64))
+        sums[a:b] += found
+    return _mix(sums + (hi - lo).astype(np.uint64))
 
 
 def sets_of(rows: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -109,7 +119,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, lis
     inner = offsets[(offsets > 0) & (offsets < len(data))]
     before[inner], after[inner - 1] = False, False
     lo, hi = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
-    words = _spans(_TABLE[_LOWER[data]], lo, hi, _BASE)
+    words = _spans(data, lo, hi, _BASE, _TABLE[_LOWER])
     at = np.searchsorted(lo, offsets)
     classes = _spans(words, at[:-1], at[1:], _CLASS)
     each = words[: max(0, len(words) - WORDS + 1)].copy()
