@@ -322,6 +322,9 @@ def test_streaming_capture(spark, tmp_path):
     stream = spark.readStream.schema("url string, source_type string, raw_text string, ingested_at timestamp").parquet(str(tmp_path / "in"))
     ingest.start(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    known = spark.createDataFrame([("u",), (None,), ("",)], "url string")
+    ingest.start(stream, str(tmp_path / "out2"), str(tmp_path / "cp2"), known=known).awaitTermination()
+    assert [r.url for r in spark.read.parquet(str(tmp_path / "out2")).collect()] == [None, None]
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -331,6 +334,23 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["chunk", str(tmp_path / "a.md"), "--title", "T"]) == 0 and "| 0 |" in capsys.readouterr().out
     assert main(["chunk", str(tmp_path / "none.md")]) == 1 and main(["video-id", "x"]) == 1
     assert main(["video-id", "https://youtu.be/abcdefghijk"]) == 0 and main(["query", "nothing", "."]) == 1
+    assert main(["chunk"]) == 2 and main(["headings", str(tmp_path / "a.md")]) == 0 and '[1] One.' in capsys.readouterr().out
+    none = str(tmp_path / "none")
+    assert main(["embed", "a", "b", "--provider", "hashed", "--settings", none]) == 0 and '["768 numbers", "768 numbers"]' in capsys.readouterr().out
+    assert main(["embed", "a", "--settings", none]) == 1 and main(["embed", "a", "--provider", "odd"]) == 1
+    (tmp_path / "c.vtt").write_text("WEBVTT\n\n00:01.000 --> 00:02.000\nhello\n")
+    (tmp_path / "m.json").write_text('{"title":"T","channel":"C","duration":5}')
+    capsys.readouterr()
+    assert main(["captions", str(tmp_path / "c.vtt"), "--video-id", "v", "--metadata", str(tmp_path / "m.json")]) == 0
+    said = capsys.readouterr().out
+    assert '"text": "[00:01] hello"' in said and '"title": "T"' in said
+    kept = str(tmp_path / "kept")
+    for duplicate in ("false", "true"):
+        assert main(["capture", str(tmp_path / "a.md"), "--store", kept, "--url", "u", "--source-type", "url"]) == 0 and f'"document_id": 1, "duplicate": {duplicate}' in capsys.readouterr().out
+    assert main(["chunk", "--store", kept, "--document-id", "1"]) == 0 and "| 0 |" in capsys.readouterr().out and main(["chunk", "--store", kept, "--document-id", "9"]) == 1
+    (tmp_path / "p.json").write_text('[{"before_unit": 1, "anchor": "One", "heading": "H"}]')
+    (tmp_path / "g.json").write_text('{"H": 3.5}')
+    assert main(["evaluate", str(tmp_path / "a.md"), "--points", str(tmp_path / "p.json"), "--grades", str(tmp_path / "g.json"), "--report", str(tmp_path / "rep")]) == 0 and '"mean_score": 3.5' in capsys.readouterr().out
 
 
 def test_sorted_observations(spark, tmp_path):
