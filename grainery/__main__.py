@@ -9,6 +9,7 @@
     python -m grainery evaluate notes.md --points points.json --grades grades.json --report eval
     python -m grainery video-id https://youtu.be/abcdefghijk
     python -m grainery query search_result /root/testdata/sf0.001 --rows 10
+    python -m grainery tools
 
 Prints a table or JSON; the exit code is 0 on success, 1 on an error value, 2 on wrong arguments.
 """
@@ -156,52 +157,67 @@ def _query(args: argparse.Namespace) -> int:
     return 0
 
 
-def main(argv: list[str] | None = None) -> int:
+def _tools(args: argparse.Namespace) -> int:
+    """The contract of each command: what it does and takes."""
+    commands = next(a for a in _parser()._actions if isinstance(a, argparse._SubParsersAction)).choices
+    kinds = {int: "integer", None: "string"}
+    for name, command in commands.items():
+        inputs = {a.dest: {"type": "array" if a.nargs == "+" else kinds[a.type], "required": a.required} for a in command._actions if a.dest != "help"}
+        print(json.dumps({"name": f"grainery_{name.replace('-', '_')}", "description": command.description, "input": inputs}))
+    return 0
+
+
+def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="grainery", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = parser.add_subparsers(dest="command", required=True)
     kinds = {"choices": ("article", "transcript"), "default": "article"}
-    chunk = commands.add_parser("chunk")
+    chunk = commands.add_parser("chunk", description="Cut a file or a stored document into chunks.")
     chunk.add_argument("path", nargs="?")
     chunk.add_argument("--store", default="store")
     chunk.add_argument("--document-id", type=int)
     chunk.add_argument("--kind", **kinds)
     chunk.add_argument("--title", default="")
     chunk.add_argument("--channel", default="")
-    headings = commands.add_parser("headings")
+    headings = commands.add_parser("headings", description="Show what a heading provider is told about a file.")
     headings.add_argument("path")
     headings.add_argument("--kind", **kinds)
     headings.add_argument("--base", default="Propose headings for the numbered units.")
     headings.add_argument("--feedback")
-    embed = commands.add_parser("embed")
+    embed = commands.add_parser("embed", description="Turn texts into vectors.")
     embed.add_argument("texts", nargs="+")
     embed.add_argument("--kind", default="document")
     for option in ("--provider", "--url", "--model"):
         embed.add_argument(option)
     embed.add_argument("--settings", default=".env")
-    captions = commands.add_parser("captions")
+    captions = commands.add_parser("captions", description="Make a transcript of a caption file.")
     captions.add_argument("path")
     captions.add_argument("--video-id", required=True)
     captions.add_argument("--metadata")
-    capture = commands.add_parser("capture")
+    capture = commands.add_parser("capture", description="Store a file as a document.")
     capture.add_argument("path")
     capture.add_argument("--store", default="store")
     capture.add_argument("--source-type", default="file")
     capture.add_argument("--url")
     capture.add_argument("--title", default="")
-    evaluate = commands.add_parser("evaluate")
+    evaluate = commands.add_parser("evaluate", description="Check and grade a file's headings, and append a report.")
     evaluate.add_argument("path")
     evaluate.add_argument("--kind", **kinds)
     for option in ("--points", "--grades", "--report"):
         evaluate.add_argument(option, required=True)
     evaluate.add_argument("--run", default="run")
-    video = commands.add_parser("video-id")
+    video = commands.add_parser("video-id", description="Find the id in a video's address.")
     video.add_argument("url")
-    query = commands.add_parser("query")
+    query = commands.add_parser("query", description="Run a query of the catalogue.")
     query.add_argument("name")
     query.add_argument("tables")
     query.add_argument("--rows", type=int, default=20)
-    args = parser.parse_args(argv)
-    commands = {"chunk": _chunk, "headings": _headings, "embed": _embed, "captions": _captions, "capture": _capture, "evaluate": _evaluate, "video-id": _video, "query": _query}
+    commands.add_parser("tools", description="List the commands and what they take.")
+    return parser
+
+
+def main(argv: list[str] | None = None) -> int:
+    args = _parser().parse_args(argv)
+    commands = {"chunk": _chunk, "headings": _headings, "embed": _embed, "captions": _captions, "capture": _capture, "evaluate": _evaluate, "video-id": _video, "query": _query, "tools": _tools}
     return commands[args.command](args)
 
 

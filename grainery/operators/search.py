@@ -50,21 +50,21 @@ def _frequency(tokens: Column, phrase: list[str]) -> Column:
 def bm25(rows: DataFrame, phrases: list[list[str]], mode: str = "relaxed") -> DataFrame:
     """id, score of rows(id, tokens) that hold all phrases (`and`), any (`or`), or any only where no row has all (`relaxed`).
 
-    Only the query's terms are counted, in one pass for the corpus' figures
-    (a single row, broadcast) and one for the scores; no postings are shuffled.
+    Only the query's terms are counted, in one pass over the texts whose counts, a small row for each text, are
+    written to the shared folder; the corpus' figures (a single row, broadcast) and the scores are read from
+    them. No postings are shuffled.
     """
     spark = rows.sparkSession
     if not phrases:
         return spark.createDataFrame([], "id bigint, score double")
     tf = [f"tf{i}" for i in range(len(phrases))]
     counted = rows.select("id", F.size("tokens").alias("length"), *(_frequency(F.col("tokens"), p).alias(c) for p, c in zip(phrases, tf, strict=True)))
+    counted = shared.materialize(counted, "bm25-counts")
     full = F.count(F.when(reduce(lambda a, b: a & b, [F.col(c) > 0 for c in tf]), 1))
     figures = counted.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"), full.alias("full"), *(F.count(F.when(F.col(c) > 0, 1)).alias(f"df_{c}") for c in tf))
     hits = sum(((F.col(c) > 0).cast("int") for c in tf), F.lit(0))
     few = {"and": F.lit(len(tf)), "or": F.lit(1), "relaxed": F.when(F.col("full") > 0, len(tf)).otherwise(1)}[mode]
-    # the figures (one row) stand in the condition so that it stays above the counts: pushed below them it would tokenize once per term
-    least = F.when(F.col("n") > 0, few)
-    found = counted.crossJoin(F.broadcast(figures)).filter(hits >= least)
+    found = counted.crossJoin(F.broadcast(figures)).filter(hits >= few)  # one row
 
     def part(c: str) -> Column:
         idf = F.greatest(F.log((F.col("n") - F.col(f"df_{c}") + 0.5) / (F.col(f"df_{c}") + 0.5)), F.lit(IDF_FLOOR))

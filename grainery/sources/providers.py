@@ -10,6 +10,8 @@ import urllib.error
 import urllib.request
 from dataclasses import dataclass, field
 
+from grainery.functions import segmentation
+
 # fixed values: the vector width, texts of one request, and the two instructions before a text
 WIDTH, BATCH = 768, 64
 PREFIXES = {"document": "title: none | text: ", "query": "task: search result | query: "}
@@ -52,6 +54,20 @@ class Hashed:
         return [x / size for x in out] if size else out
 
 
+def _ask(url: str, body: dict, key: str) -> list:
+    """What a model server's JSON answer holds under a key."""
+    asked = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"})  # noqa: S310
+    try:
+        with urllib.request.urlopen(asked, timeout=PATIENCE) as answer:  # noqa: S310
+            return json.load(answer)[key]
+    except urllib.error.HTTPError as error:
+        raise Failed(f"the model server answered {error.code}: {error.read().decode(errors='replace')[:QUOTED]}") from error
+    except urllib.error.URLError as error:
+        raise Failed(f"no model server at {url}: {error.reason}") from error
+    except (ValueError, KeyError, TypeError) as error:
+        raise Failed(f"the model server's answer has no {key}: {error}") from error
+
+
 @dataclass(frozen=True)
 class Server:
     """Vectors of a model server: one POST of {model, input} for each request, answered by {embeddings}."""
@@ -61,17 +77,38 @@ class Server:
     width: int = WIDTH
 
     def vectors(self, texts: list[str]) -> list[list[float]]:
-        body = json.dumps({"model": self.model, "input": texts}).encode()
-        asked = urllib.request.Request(self.url, body, {"Content-Type": "application/json"})  # noqa: S310
+        return _ask(self.url, {"model": self.model, "input": texts}, "embeddings")
+
+
+@dataclass(frozen=True)
+class HeadingServer:
+    """Heading proposals of a model server: a POST of {model, prompt, input} for each attempt, answered by {points}; none if it fails."""
+
+    url: str
+    model: str
+    base: str = "Propose headings for the numbered units."
+
+    def __call__(self, units, kind, feedback, chapters) -> list | None:
+        prompt = segmentation.compose_prompt(self.base, kind, chapters=segmentation.render_chapters(chapters), feedback=feedback)
+        try:
+            return _ask(self.url, {"model": self.model, "prompt": prompt, "input": segmentation.render_units(units)}, "points")
+        except Failed:
+            return None
+
+
+@dataclass(frozen=True)
+class JudgeServer:
+    """Grades of a model server: a POST of {model, input} for each document, answered by {verdicts}; none if it fails."""
+
+    url: str
+    model: str
+
+    def grade(self, sections: list[tuple[int, str, str]]) -> list[dict]:
         try:
-            with urllib.request.urlopen(asked, timeout=PATIENCE) as answer:  # noqa: S310
-                return json.load(answer)["embeddings"]
-        except urllib.error.HTTPError as error:
-            raise Failed(f"the model server answered {error.code}: {error.read().decode(errors='replace')[:QUOTED]}") from error
-        except urllib.error.URLError as error:
-            raise Failed(f"no model server at {self.url}: {error.reason}") from error
-        except (ValueError, KeyError, TypeError) as error:
-            raise Failed(f"the model server's answer has no vectors: {error}") from error
+            found = _ask(self.url, {"model": self.model, "input": [{"before_unit": b, "heading": h, "text": t} for b, h, t in sections]}, "verdicts")
+        except Failed:
+            return []
+        return [{c: v.get(c) for c in ("before_unit", "score", "grade", "reasoning", "excerpt")} for v in found]
 
 
 def provider(name: str | None, url: str = "", model: str = "") -> Off | Hashed | Server:

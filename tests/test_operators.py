@@ -140,7 +140,7 @@ def test_providers(spark, tmp_path):
         providers.provider("odd")
 
 
-def test_model_server():
+def test_model_server(spark):
     import http.server
     import json
     import threading
@@ -151,7 +151,13 @@ def test_model_server():
             seen.append(len(asked["input"]))
             self.send_response(500 if asked["model"] == "bad" else 200)
             self.end_headers()
-            self.wfile.write(json.dumps({} if asked["model"] == "none" else {"embeddings": [[float(len(t))] * 3 for t in asked["input"]]}).encode())
+            if asked["model"] == "writer":
+                reply = {"points": [{"before_unit": 1, "heading": "H", "anchor": ""}]} if "[1] " in asked["input"] and "Propose" in asked["prompt"] else {}
+            elif asked["model"] == "judge":
+                reply = {"verdicts": [{"before_unit": s["before_unit"], "score": float(len(s["text"])), "grade": "x"} for s in asked["input"]]}
+            else:
+                reply = {} if asked["model"] == "none" else {"embeddings": [[float(len(t))] * 3 for t in asked["input"]]}
+            self.wfile.write(json.dumps(reply).encode())
 
         def log_message(self, *args):
             pass
@@ -161,7 +167,13 @@ def test_model_server():
     threading.Thread(target=server.serve_forever, daemon=True).start()
     make = lambda model: providers.Server(f"http://127.0.0.1:{server.server_port}/", model, 3)
     assert providers.embed(make("m"), ["a"] * 130)["vectors"] == [[21.0] * 3] * 130 and seen == [64, 64, 2]
-    assert "answered 500" in providers.embed(make("bad"), ["a"])["error"] and "no vectors" in providers.embed(make("none"), ["a"])["error"]
+    assert "answered 500" in providers.embed(make("bad"), ["a"])["error"] and "no embeddings" in providers.embed(make("none"), ["a"])["error"]
+    url, docs = f"http://127.0.0.1:{server.server_port}/", spark.createDataFrame([(1, "One here. Two here.")], "doc_id long, text string")
+    assert chunking.summaries(docs, provider=providers.HeadingServer(url, "writer"), name="server").first()[:4] == (1, True, None, "server")
+    assert chunking.summaries(docs, provider=providers.HeadingServer(url, "none")).first().backend == "fallback"
+    p = F.array(F.struct(F.lit(1).alias("before_unit"), F.lit("").alias("anchor"), F.lit("H").alias("heading")))
+    assert evaluation.graded(docs, p, providers.JudgeServer(url, "judge")).first()[:4] == (1, 1, "H", float(len("Two here.")))
+    assert evaluation.graded(docs, p, providers.JudgeServer(url, "none")).collect() == []
     server.shutdown()
 
 
@@ -334,6 +346,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["chunk", str(tmp_path / "a.md"), "--title", "T"]) == 0 and "| 0 |" in capsys.readouterr().out
     assert main(["chunk", str(tmp_path / "none.md")]) == 1 and main(["video-id", "x"]) == 1
     assert main(["video-id", "https://youtu.be/abcdefghijk"]) == 0 and main(["query", "nothing", "."]) == 1
+    assert main(["tools"]) == 0 and '"name": "grainery_embed"' in capsys.readouterr().out
     assert main(["chunk"]) == 2 and main(["headings", str(tmp_path / "a.md")]) == 0 and '[1] One.' in capsys.readouterr().out
     none = str(tmp_path / "none")
     assert main(["embed", "a", "b", "--provider", "hashed", "--settings", none]) == 0 and '["768 numbers", "768 numbers"]' in capsys.readouterr().out
