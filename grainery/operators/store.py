@@ -82,6 +82,12 @@ def _update(table: DataFrame, changes: DataFrame, column: str, error: Column) ->
     return table.join(last, "id", "left").withColumn(column, F.coalesce("__value", column)).select(*table.columns), rejects.unionByName(missing)
 
 
+def affected(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
+    """One row: how many rows an update has given another value of a column."""
+    both = before.select("id", F.col(column).alias("__old")).join(after.select("id", column), "id")
+    return both.agg(F.count(F.when(~F.col("__old").eqNullSafe(F.col(column)), 1)).alias("affected"))
+
+
 def set_summary(documents: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """changes(id, value, position); blank summaries are rejected."""
     return _update(documents, changes, "agent_summary", first_error((X.blank("value"), "empty summary")))

@@ -153,6 +153,14 @@ def summary_updates(spark, sf_dir):
     return store.set_summary(docs, changes)[0].withColumnRenamed("id", "doc_id")
 
 
+@query("SELECT count(*) FILTER (l.toxic = 1) AS affected FROM documents d JOIN labels l USING (doc_id)")
+def affected_rows(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("kept").alias("status"))
+    value = F.when(F.col("toxic") == 1, "discarded").otherwise("kept")
+    changes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), value.alias("value"), F.lit(0).alias("position"))
+    return store.affected(docs, store.set_status(docs, changes)[0], "status")
+
+
 @query("SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'discarded' ELSE 'kept' END AS status FROM documents")
 def discarded_documents(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.lit("kept").alias("status"))
