@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from grainery.llm import common, splicing
 
 #: Words whose ids a Python worker remembers, bytes of the words in one recursive query, and of a chunk and its overlap in a longer word.
-MEMORY_WORDS, QUERY_BYTES, CHUNK, OVERLAP = 400_000, 1 << 18, 64, 32
+MEMORY_WORDS, QUERY_BYTES, CHUNK, OVERLAP = 400_000, 1 << 17, 64, 32
 #: Words that are looked up at once, and ids that are decoded at once.
 WORDS, DECODED = 1 << 18, 1 << 18
 
@@ -37,13 +37,10 @@ _MERGE = """
 WITH RECURSIVE step USING KEY (word) AS (
   SELECT word, list(token ORDER BY place) AS tokens FROM rows GROUP BY word
   UNION
-  (WITH pairs AS (SELECT word, tokens, unnest(range(1, len(tokens))) AS place FROM step),
-   best AS (
-     SELECT word, any_value(tokens) AS tokens, min(m.rank::BIGINT * 1048576 + place) AS least
-     FROM pairs JOIN merges m ON m.pair = tokens[place]::BIGINT * 65536 + tokens[place + 1]
-     GROUP BY word)
+  (WITH pairs AS (SELECT word, unnest(tokens[:-2]) AS a, unnest(tokens[2:]) AS b, unnest(range(1, len(tokens))) AS place FROM step WHERE len(tokens) > 1),
+   best AS (SELECT word, min(m.rank::BIGINT * 1048576 + place) AS least FROM pairs JOIN merges m ON m.pair = a::BIGINT * 65536 + b GROUP BY word)
    SELECT word, list_concat(list_concat(tokens[1:(least % 1048576) - 1], [(least // 1048576)::INT]), tokens[(least % 1048576) + 2:])
-   FROM best)
+   FROM best JOIN step USING (word))
 )
 SELECT word, tokens FROM step
 """
