@@ -107,34 +107,33 @@ def moves(inside: np.ndarray, n: int) -> np.ndarray:
 
 
 @functools.cache
-def _simulated(tables: int, projections: int, width: float, probes: int) -> tuple[np.ndarray, ...]:
+def reach(tables: int, projections: int, width: float, probes: int) -> float:
+    """The least cosine, in hundredths, from which on at most MISSED of the rows are in no probed cell, by simulation."""
     random, shape = np.random.default_rng(SEED), (600 * tables, projections)
     own, other, shift = random.normal(size=shape), random.normal(size=shape), random.uniform(0, width, size=shape)
     at = (own + shift) / width
-    return own, other, shift, np.floor(at), moves(at - np.floor(at), probes)
-
-
-def missed(cosine: float, tables: int, projections: int, width: float, probes: int) -> float:
-    """The share of rows at a cosine that are in no probed cell, by simulation."""
-    own, other, shift, cell, visited = _simulated(tables, projections, width, probes)
-    move = np.floor((cosine * own + np.sqrt(max(0.0, 1 - cosine**2)) * other + shift) / width) - cell
-    met = (visited == move[:, None, :]).all(axis=-1).any(axis=-1)
-    return 1 - float(met.reshape(-1, tables).any(axis=1).mean())
+    cell = np.floor(at)
+    visited = moves(at - cell, probes).astype(np.int8)
 
+    def missed(cosine: float) -> float:
+        move = np.floor((cosine * own + np.sqrt(1 - cosine**2) * other + shift) / width) - cell
+        met = (visited == move[:, None, :]).all(axis=-1).any(axis=-1)
+        return 1 - float(met.reshape(-1, tables).any(axis=1).mean())
 
-@functools.cache
-def reach(tables: int, projections: int, width: float, probes: int) -> float:
-    """The least cosine, in hundredths, from which on at most MISSED of the rows are missed."""
     lo, hi = -100, 100
     while lo < hi:
         middle = (lo + hi) // 2
-        lo, hi = (lo, middle) if missed(middle / 100, tables, projections, width, probes) <= MISSED else (middle + 1, hi)
+        lo, hi = (lo, middle) if missed(middle / 100) <= MISSED else (middle + 1, hi)
     return lo / 100
 
 
 def fitted(cosine: float, tables: int, width: float, probes: int) -> int:
-    """The most projections with which probing reaches a cosine."""
-    return next((m for m in reversed(PROJECTIONS) if reach(tables, m, width, probes) <= cosine), PROJECTIONS[0])
+    """The most projections with which probing reaches a cosine: the more there are, the less far it reaches."""
+    few, many = PROJECTIONS[0], PROJECTIONS[-1]
+    while few < many:
+        middle = (few + many + 1) // 2
+        few, many = (middle, many) if reach(tables, middle, width, probes) <= cosine else (few, middle - 1)
+    return few
 
 
 @functools.cache
