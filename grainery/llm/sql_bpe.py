@@ -20,6 +20,7 @@ import functools
 import hashlib
 import itertools
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ WITH RECURSIVE step USING KEY (word) AS (
    SELECT word, list_concat(list_concat(tokens[1:(least % 1048576) - 1], [(least // 1048576)::INT]), tokens[(least % 1048576) + 2:])
    FROM best JOIN step USING (word))
 )
-SELECT word, tokens FROM step
+SELECT word, tokens FROM step ORDER BY word
 """
 
 
@@ -91,54 +92,71 @@ class Coder:
         return out
 
     def clear(self) -> None:
-        self.known: dict[str, np.ndarray] = {}
-
-    def _merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of words or chunks, some at a time."""
-        found: list = []
+        self.known: dict[str, int] = {}
+        self.store, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.length, self.slots = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def _halve(self) -> None:
+        """Forget the words that were learned last: frequent ones are met early."""
+        cut = self.slots // 2
+        self.known = {w: s for w, s in self.known.items() if s < cut}
+        self.used, self.slots = int(self.start[cut]), cut
+
+    def _add(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Put the ids of words into new slots."""
+        first, total = self.slots, len(ids)
+        while self.used + total > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
+        while first + len(lengths) > len(self.start):
+            self.start, self.length = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.length))
+        self.store[self.used : self.used + total] = ids
+        self.start[first : first + len(lengths)] = self.used + np.cumsum(lengths) - lengths
+        self.length[first : first + len(lengths)] = lengths
+        self.used, self.slots = self.used + total, first + len(lengths)
+        return np.arange(first, self.slots)
+
+    def _merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words or chunks, and their number for each; some words at a time."""
+        ids, counts, lo = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
         sizes = np.cumsum([0, *map(len, words)])
-        while len(found) < len(words):
-            lo = len(found)
+        while lo < len(words):
             hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + QUERY_BYTES, "right")) - 1)
-            found += self._contracted(words[lo:hi])
-        return found
-
-    def _contracted(self, words: list[bytes]) -> list[np.ndarray]:
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        data = np.frombuffer(b"".join(words), np.uint8)
-        begin = np.cumsum(lengths) - lengths
-        rows = pa.table({"word": np.repeat(np.arange(len(words)), lengths), "place": np.arange(len(data)) - np.repeat(begin, lengths), "token": self.bytes[data]})
-        out = self._rows(_MERGE, rows=rows)
-        tokens = out.column("tokens").combine_chunks()
-        cut, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy().astype(np.uint32)
-        found: list = [None] * len(words)
-        for k, w in enumerate(out.column("word").to_pylist()):
-            found[w] = flat[cut[k] : cut[k + 1]]
-        return found
+            lengths, data = np.diff(sizes[lo : hi + 1]), np.frombuffer(b"".join(words[lo:hi]), np.uint8)
+            place = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            out = self._rows(_MERGE, rows=pa.table({"word": np.repeat(np.arange(hi - lo), lengths), "place": place, "token": self.bytes[data]}))
+            tokens = out.column("tokens").combine_chunks()
+            ids.append(tokens.flatten().to_numpy().astype(np.uint32))
+            counts.append(pc.list_value_length(tokens).to_numpy().astype(np.int64))
+            lo = hi
+        return np.concatenate(ids), np.concatenate(counts)
 
     def _long(self, word: bytes) -> np.ndarray:
         """The ids of a word of any length, from overlapping chunks."""
 
         def encode(places: list[tuple[int, int]]) -> list[splicing.Piece]:
-            found = self._merge([word[lo:hi] for lo, hi in places])
-            ends = [lo + np.cumsum(self.sizes[ids]) for (lo, _), ids in zip(places, found, strict=True)]
-            return [splicing.Piece(lo, hi, ids, e - self.sizes[ids], e) for (lo, hi), ids, e in zip(places, found, ends, strict=True)]
+            ids, counts = self._merge([word[lo:hi] for lo, hi in places])
+            found = np.split(ids, np.cumsum(counts)[:-1])
+            ends = [lo + np.cumsum(self.sizes[x]) for (lo, _), x in zip(places, found, strict=True)]
+            return [splicing.Piece(lo, hi, x, e - self.sizes[x], e) for (lo, hi), x, e in zip(places, found, ends, strict=True)]
 
         return np.concatenate(list(splicing.joined(len(word), CHUNK, OVERLAP, 0, encode, several=QUERY_BYTES // CHUNK)))
 
-    def learn(self, words: list[str]) -> dict[str, np.ndarray]:
-        """Find the ids of words; those of the words longer than a chunk are returned and not remembered."""
-        short, long = {}, {}
-        for word in words:
-            raw = word.encode()
-            if (whole := self.ranks.get(raw)) is not None:
-                self.known[word] = np.array([whole], np.uint32)
-            elif len(raw) > CHUNK + OVERLAP:
-                long[word] = self._long(raw)
-            else:
-                short[word] = raw
-        self.known.update(zip(short, self._merge(list(short.values())), strict=True))
-        return long
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, tuple[int, int]]:
+        """Slots of new words; those of words longer than a chunk come last and are to be forgotten from the mark on."""
+        raw = [w.encode() for w in words]
+        rank = np.fromiter(map(self.ranks.get, raw, repeat(-1)), np.int64, len(raw))
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        whole, long = np.flatnonzero(rank >= 0), np.flatnonzero((rank < 0) & (size > CHUNK + OVERLAP))
+        short, slots = np.flatnonzero((rank < 0) & (size <= CHUNK + OVERLAP)), np.empty(len(words), np.int64)
+        slots[whole] = self._add(rank[whole].astype(np.uint32), np.ones(len(whole), np.int64))
+        slots[short] = self._add(*self._merge([raw[i] for i in short.tolist()]))
+        for some in (whole, short):
+            self.known.update(zip([words[i] for i in some.tolist()], slots[some].tolist(), strict=True))
+        mark = (self.used, self.slots)
+        for i in long.tolist():
+            ids = self._long(raw[i])
+            slots[i] = self._add(ids, np.array([len(ids)]))[0]
+        return slots, mark
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and each text's place among them (rows + 1), so many words at a time."""
@@ -160,21 +178,22 @@ class Coder:
         if not words:
             return np.zeros(0, np.uint32)
         if len(self.known) > self.entries:
-            self.clear()
+            self._halve()
         coded = pa.array(words, pa.string()).dictionary_encode()
         kinds = common.strings(coded.dictionary)
-        long = self.learn([w for w in kinds if w not in self.known])
-        each = [self.known[w] if w in self.known else long[w] for w in kinds]
-        lengths = np.fromiter(map(len, each), np.int64, len(each))
-        store, start = np.concatenate(each), np.cumsum(lengths) - lengths
-        codes = coded.indices.to_numpy()
-        n = lengths[codes]
+        slots = np.fromiter(map(self.known.get, kinds, repeat(-1)), np.int64, len(kinds))
+        new = np.flatnonzero(slots < 0)
+        slots[new], mark = self._learn([kinds[i] for i in new.tolist()])
+        each = slots[coded.indices.to_numpy()]
+        n = self.length[each]
         ends = np.cumsum(n)
-        at = np.repeat(start[codes] - (ends - n), n)
+        at = np.repeat(self.start[each] - (ends - n), n)
         at += np.arange(len(at))
+        ids = self.store[at]
+        self.used, self.slots = mark
         text, count = np.array(owners, np.int64).T
         np.add.at(sizes, text, np.add.reduceat(n, np.cumsum(count) - count))
-        return store[at]
+        return ids
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """The bytes of each text's ids, so many at a time: parts of a longer text are joined in order."""
