@@ -39,8 +39,8 @@ WITH RECURSIVE step USING KEY (word) AS (
   SELECT word, list(token ORDER BY place) AS tokens FROM rows GROUP BY word
   UNION
   (WITH pairs AS (SELECT word, unnest(tokens[:-2]) AS a, unnest(tokens[2:]) AS b, unnest(range(1, len(tokens))) AS place FROM step WHERE len(tokens) > 1),
-   best AS (SELECT word, min(m.rank::BIGINT * 1048576 + place) AS least FROM pairs JOIN merges m ON m.pair = a::BIGINT * 65536 + b GROUP BY word)
-   SELECT word, list_concat(list_concat(tokens[1:(least % 1048576) - 1], [(least // 1048576)::INT]), tokens[(least % 1048576) + 2:])
+   best AS (SELECT word, min(m.rank::BIGINT * 1099511627776 + place) AS least FROM pairs JOIN merges m ON m.pair = a::BIGINT * 65536 + b GROUP BY word)
+   SELECT word, list_concat(list_concat(tokens[1:(least % 1099511627776) - 1], [(least // 1099511627776)::INT]), tokens[(least % 1099511627776) + 2:])
    FROM best JOIN step USING (word))
 )
 SELECT word, tokens FROM step ORDER BY word
@@ -139,7 +139,10 @@ class Coder:
             ends = [lo + np.cumsum(self.sizes[x]) for (lo, _), x in zip(places, found, strict=True)]
             return [splicing.Piece(lo, hi, x, e - self.sizes[x], e) for (lo, hi), x, e in zip(places, found, ends, strict=True)]
 
-        return np.concatenate(list(splicing.joined(len(word), CHUNK, OVERLAP, 0, encode, several=QUERY_BYTES // CHUNK)))
+        try:
+            return np.concatenate(list(splicing.joined(len(word), CHUNK, OVERLAP, 0, encode, several=QUERY_BYTES // CHUNK)))
+        except splicing.Unstable:
+            return self._merge([word])[0]
 
     def _learn(self, words: list[str]) -> tuple[np.ndarray, tuple[int, int]]:
         """Slots of new words; those of words longer than a chunk come last and are to be forgotten from the mark on."""
