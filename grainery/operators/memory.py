@@ -10,6 +10,10 @@ from grainery.functions import text as X
 from grainery.operators.store import first_error, number, positions, split_rejects
 
 GRAM = 3
+#: Counts of grams that a task holds: half a megabyte.
+BUCKETS = 1 << 16
+#: More than a string has places; a count and a place share one number.
+WIDE = 1 << 31
 
 
 def names(entities: DataFrame) -> DataFrame:
@@ -25,17 +29,31 @@ def _grams(c: str, size: int) -> Column:
     return F.when(F.length(c) >= size, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
 
 
+def _rows_like(grams: DataFrame) -> Column:
+    """Of a gram: how many rows of `grams` lie in its bucket, so at least as many as have it, and none if no row of the bucket does.
+
+    One row of BUCKETS numbers, whatever the size of the tables: a subquery's value, not a table to broadcast.
+    """
+    bucket = F.pmod(F.xxhash64("gram"), F.lit(BUCKETS))
+    each = grams.select(bucket.alias("id")).union(grams.sparkSession.range(BUCKETS)).groupBy("id").agg((F.count("*") - 1).alias("n"))
+    return F.get(each.agg(F.sort_array(F.collect_list(F.struct("id", "n")))["n"]).scalar(), bucket.cast("int"))
+
+
 def _contained(short: DataFrame, s: str, long: DataFrame, l: str) -> DataFrame:  # noqa: E741
     """The pairs in which a long string holds a short one.
 
     A long string that holds a short one holds all its grams, so the short one is looked up under the gram of it
-    that the fewest long strings have: no pair without that gram is formed, and a gram that most have is no join key.
+    that the fewest long strings have (as `_rows_like` tells), if each is had by any; of the long strings' grams, only those
+    that some short one is looked up under are dealt out. Spark takes exploded rows for no larger than the rows before
+    them, so it must not choose to broadcast them.
     """
     look = long.withColumn("gram", F.explode(F.concat(*(_grams(l, size) for size in range(1, GRAM + 1)))))
-    often = look.groupBy("gram").agg(F.count("*").alias("__n"))
-    keys = short.withColumn("gram", F.explode(F.when(F.length(s) >= GRAM, _grams(s, GRAM)).otherwise(F.array(s))))
-    rarest = keys.join(often, "gram").groupBy(*short.columns).agg(F.min_by("gram", F.struct("__n", "gram")).alias("gram"))
-    return rarest.join(look, "gram").filter(F.contains(F.col(l), F.col(s))).select("__needle", "entity_id")
+    keys = short.withColumn("__at", F.explode(F.sequence(F.lit(1), F.greatest(F.length(s) - GRAM + 1, F.lit(1)))))
+    keys = keys.withColumn("gram", F.substr(F.col(s), F.col("__at"), F.lit(GRAM)))
+    least = keys.groupBy(*short.columns).agg(F.min(F.least(_rows_like(look), F.lit(WIDE)) * WIDE + F.col("__at")).alias("__least"))
+    rarest = least.filter(F.col("__least") > WIDE).select(*short.columns, F.substr(F.col(s), (F.col("__least") % WIDE).cast("int"), F.lit(GRAM)).alias("gram"))
+    met = look.filter(_rows_like(rarest) > 0)
+    return rarest.hint("merge").join(met, "gram").filter(F.contains(F.col(l), F.col(s))).select("__needle", "entity_id")
 
 
 def resolve(entities: DataFrame, needles: DataFrame, needle: str = "needle") -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -231,6 +232,29 @@ def test_entities(spark):
     assert memory.list_entities(table, "pet").count() == 1 and memory.get_entity(table, 1).first().name == "Tom"
 
 
+def test_grams_are_not_broadcast(spark):
+    table = spark.createDataFrame([(i, f"kind {i}", "thing", None, None, "zz" if i else "some c", None, NOW) for i in range(20)], schemas.ENTITIES.simpleString()[7:-1])
+    need = spark.range(3000).select(F.concat(F.lit("some customer of kind "), (F.col("id") % 50).cast("string"), F.lit(" and of number "), F.col("id").cast("string")).alias("needle"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1m")  # the needles' grams take more
+    try:
+        got = sorted(tuple(r) for r in memory.resolve(table, need).collect())
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    names = [(i, x) for i in range(20) for x in ([f"kind {i}"] if i else ["kind 0", "some c"])]
+    assert got == sorted({(r.needle, i) for r in need.collect() for i, x in names if x in r.needle})
+
+
+@pytest.mark.parametrize("buckets", [1, 5, 1 << 16])
+def test_names_in_shared_buckets(spark, monkeypatch, buckets):
+    monkeypatch.setattr(memory, "BUCKETS", buckets)
+    draw = random.Random(7)
+    words = sorted({"".join(draw.choices("abé\U0001f600 ", k=draw.randint(1, 7))).strip() for _ in range(150)} - {""})
+    table = spark.createDataFrame([(i, w, "thing", None, None, None, None, NOW) for i, w in enumerate(words[::2])], schemas.ENTITIES.simpleString()[7:-1])
+    need = spark.createDataFrame([(w,) for w in words[1::2]], "needle string")
+    got = sorted(tuple(r) for r in memory.resolve(table, need).collect())
+    assert got == sorted((n, i) for n in words[1::2] for i, w in enumerate(words[::2]) if n in w or w in n) and got
+
+
 def test_observations(spark):
     log = [(1, "write", 1, "a", "x", None), (2, "write", 1, "a", "y", None), (3, "replace", 1, "a", "z", None), (4, "write", 1, None, None, "prose"), (5, "write", 1, "a", " ", None), (6, "write", 1, None, None, None)]
     rows = spark.createDataFrame([(*r, None, NOW, None) for r in log], "id long, op string, entity_id long, attribute string, value string, body string, source string, observed_at timestamp, target long")
